@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, decontaminate, exact_dedup
+from millrace.llm import byte_bpe, chat_format, decontaminate, exact_dedup, token_files
 
 QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op6_chat_format": chat_format.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_byte_bpe": byte_bpe.query,
+    "op9_token_files": token_files.query,
 }
 SQL = {
     "op4_decontaminate": decontaminate.SQL,
