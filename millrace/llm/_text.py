@@ -255,3 +255,44 @@ def encode_texts(table: PieceTable, whole: Callable[[str], list[int]], texts: li
             last = i
     if held:
         yield held[0] if len(held) == 1 else np.concatenate(held)
+
+
+def runs_of(kind: np.ndarray, bounds: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of one class begin and end; texts part them."""
+    is_it = kind == wanted
+    edge = np.zeros(len(kind) + 1, bool)
+    edge[bounds] = True
+    before = np.concatenate(([False], is_it[:-1]))
+    after = np.concatenate((is_it[1:], [False]))
+    return np.flatnonzero(is_it & (~before | edge[:-1])), np.flatnonzero(is_it & (~after | edge[1:])) + 1
+
+
+class Rows:
+    """Vectors of things met so far, by hash; forgotten as a whole beyond `limit`, except those known at first."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, limit: int = 400_000):
+        self.known, self.base, self.limit = dict(zip(hashes.tolist(), range(len(hashes)), strict=True)), values, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = dict(self.known)
+        self.values = np.zeros((max(1 << 14, 2 * len(self.base)), self.base.shape[1]), np.float32)
+        self.values[: len(self.base)] = self.base
+
+    def of(self, hashes: np.ndarray, make) -> np.ndarray:
+        """Row numbers in `values`; make(places among `hashes`) gives the rows of those not met before."""
+        if len(self.slots) + len(hashes) > len(self.known) + self.limit + len(hashes):
+            self.clear()
+        keys = hashes.tolist()
+        got = [self.slots.get(k, -1) for k in keys]
+        new = [i for i, s in enumerate(got) if s < 0]
+        if new:
+            base = len(self.slots)
+            if base + len(new) > len(self.values):
+                wider = np.zeros((2 * (base + len(new)), self.values.shape[1]), np.float32)
+                wider[: len(self.values)] = self.values
+                self.values = wider
+            self.values[base : base + len(new)] = make(np.array(new, np.int64))
+            for j, i in enumerate(new):
+                self.slots[keys[i]] = got[i] = base + j
+        return np.array(got, np.int64)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, chat_format, decontaminate, exact_dedup, token_files
+from millrace.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_id, quality, token_files, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.query,
+    "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
     "op6_chat_format": chat_format.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_byte_bpe": byte_bpe.query,
     "op9_token_files": token_files.query,
+    "op10_quality": quality.query,
 }
 SQL = {
     "op4_decontaminate": decontaminate.SQL,
