@@ -345,7 +345,7 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class, the one with the least id, with all columns; of rows that share that id, one."""
+    """The document with the least id of each class, with all columns; rows that share that id all stay."""
     found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_nid"), "component_id")
     gone = Scratch(docs.sparkSession).put(found.filter("component_id <> _nid").select("_nid").distinct(), "near-copies")
     return docs.join(gone, docs[id_col] == gone["_nid"], "left_anti")
