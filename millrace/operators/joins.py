@@ -62,7 +62,7 @@ def _hold(side: Side, before: str, later: str, gc: str) -> Column:
     return out
 
 
-def _annotated(left: Side, right: Side, gc: str, order: str) -> tuple[DataFrame, DataFrame]:
+def _annotated(left: Side, right: Side, gc: str, order: str, cuts: list) -> tuple[DataFrame, DataFrame]:
     """Both sides with what their windows look at, `_l_` and `_r_` before the names."""
     parts = []
     for n, s in ((0, left), (1, right)):
@@ -81,7 +81,7 @@ def _annotated(left: Side, right: Side, gc: str, order: str) -> tuple[DataFrame,
     windows = (left.window, right.window)
     if any(isinstance(w, W.Count) for w in windows) or any(b is not None for b in (left.buffer, right.buffer)) or gc == "lazy":
         if order == "time":
-            both = ranged(both, "_at")
+            both = ranged(both, "_at", cuts)
         else:
             both = both.withColumn("_range", F.col("_side"))
         if any(isinstance(w, W.Count) for w in windows):
@@ -111,8 +111,12 @@ def _unpack(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     )
 
 
-def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time") -> tuple[DataFrame, DataFrame]:
-    """Joined rows (schema columns of both sides, `_at`) and expired records, for one of KINDS."""
+def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time", cuts: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Joined rows (schema columns of both sides, `_at`) and expired records, for one of KINDS.
+
+    `cuts` part the arrival order into ranges for windows that look at it (see ranks.bounds).
+    """
+    cuts = cuts or []
     kind = kind.lower()
     if kind not in KINDS:
         raise ValueError(f"unknown join type {kind!r}; one of {sorted(KINDS)}")
@@ -120,8 +124,8 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
     matches, lone_left, lone_right = KINDS[kind]
     names = [[c for c in s.df.columns if not c.startswith("_")] for s in (left, right)]
     if max(left.bounds(), right.bounds()) > 1:
-        pairs, expired = replay_join(left, right, gc, order)
-        l, r = _annotated(Side(left.df, left.schema), Side(right.df, right.schema), "strict", order)
+        pairs, expired = replay_join(left, right, gc, order, cuts)
+        l, r = _annotated(Side(left.df, left.schema), Side(right.df, right.schema), "strict", order, cuts)
         same = pairs.join(l, pairs["l_at"] == l["_l_at"]).join(r, pairs["r_at"] == r["_r_at"]).drop("l_at", "r_at")
         out = [same] if matches else []
         if lone_left:
@@ -132,7 +136,7 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
         for x in out[1:]:
             whole = whole.unionByName(x, allowMissingColumns=True)
         return _fill(whole, l, r, names), expired
-    l, r = _annotated(left, right, gc, order)
+    l, r = _annotated(left, right, gc, order, cuts)
     first = F.col("_l_at") <= F.col("_r_at") if order == "time" else F.lit(True)
     on = F.col("_l_k") == F.col("_r_k")
     if left.bounds() or right.bounds():

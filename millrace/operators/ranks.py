@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def ranged(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """Adds `_range`, which grows with `order`."""
+def bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list:
+    """Values of `order` that part the rows into ranges of about the same size."""
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = df.select(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("b")).first()["b"]
-    distinct = sorted(set(bounds or []))
-    if not distinct:
+    found = df.select(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("b")).first()["b"]
+    return sorted(set(found or []))
+
+
+def ranged(df: DataFrame, order: str, cuts: list) -> DataFrame:
+    """Adds `_range`, which grows with `order`; any cuts give right results, even ones equal work."""
+    if not cuts:
         return df.withColumn("_range", F.lit(0))
-    at = F.array(*(F.lit(b) for b in distinct))
+    at = F.array(*(F.lit(b) for b in cuts))
     return df.withColumn("_range", F.size(F.filter(at, lambda b: b < F.col(order))))
 
 

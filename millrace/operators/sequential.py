@@ -114,7 +114,7 @@ def _run(pdf: pd.DataFrame, windows, buffers, shots, lazy: bool) -> pd.DataFrame
     return out.astype({"what": "int32", "l_at": "Int64", "r_at": "Int64", "side": "Int32", "matched": "boolean"})
 
 
-def replay_join(left, right, gc: str, order: str) -> tuple[DataFrame, DataFrame]:
+def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame, DataFrame]:
     """(l_at, r_at) of the matches, and the expired records."""
     from millrace.functions.paths import column, expression, row
     from millrace.operators.joins import packet
@@ -130,7 +130,7 @@ def replay_join(left, right, gc: str, order: str) -> tuple[DataFrame, DataFrame]
     sequence = ["at", "side"] if order == "time" else ["side", "at"]
     windows, buffers, shots = (left.window, right.window), (left.buffer, right.buffer), (left.one_shot, right.one_shot)
     if gc == "lazy":
-        both = previous(ranged(both, "at") if order == "time" else both.withColumn("_range", F.col("side")), sequence, "t", "prev").drop("_range")
+        both = previous(ranged(both, "at", cuts) if order == "time" else both.withColumn("_range", F.col("side")), sequence, "t", "prev").drop("_range")
     else:
         both = both.withColumn("prev", F.lit(None).cast("double"))
     whole = any(isinstance(w, W.Count) for w in windows)
@@ -140,7 +140,7 @@ def replay_join(left, right, gc: str, order: str) -> tuple[DataFrame, DataFrame]
         return _run(pdf.sort_values(sequence, kind="stable"), bare, buffers, shots, gc == "lazy")
 
     schema = "what int, l_at long, r_at long, side int, reason string, matched boolean"
-    made = both.groupBy(*([] if whole else ["key"])).applyInPandas(run, schema) if not whole else both.groupBy(F.lit(0)).applyInPandas(run, schema)
+    made = both.withColumn("one", F.lit(0)).groupBy("one" if whole else "key").applyInPandas(run, schema)
     pairs = made.filter("what = 0").select("l_at", "r_at")
     out = None
     for n, s, at in ((0, left, "l_at"), (1, right, "r_at")):

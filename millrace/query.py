@@ -15,6 +15,7 @@ from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.operators.distinct import distinct
 from millrace.operators.groups import group
+from millrace.operators.ranks import bounds
 from millrace.plans.aggregates import Aggregates
 from millrace.plans.model import DistinctStep, JoinStep, Plan, keys
 from millrace.sources.schema import ARRIVAL, META, SchemaFrame, as_number, rename, wrap
@@ -217,6 +218,19 @@ class Query:
 
     # compilation
 
+    @cached_property
+    def _cuts(self) -> list:
+        """Ranges of the arrival order, taken from the sources so that no join is computed for them."""
+        every = None
+        for s in (self.plan.source, *(j.source for j in self.plan.joins)):
+            at = s.df.select(ARRIVAL)
+            every = at if every is None else every.unionAll(at)
+        return bounds(every, ARRIVAL)
+
+    def _looks_at_order(self, step: JoinStep) -> bool:
+        buffers = any(k.buffer is not None for k in step.using.values())
+        return buffers or self.plan.gc == "lazy" or any(isinstance(w, W.Count) for w in W.sides(self._window(step)))
+
     def _time(self, frame: SchemaFrame, schema: str, w: W.Window):
         if isinstance(w, W.Interval) and w.field and w.field in frame.df.schema[schema].dataType.names:
             return as_number(frame.df, F.col(f"`{schema}`.`{w.field}`"))
@@ -243,7 +257,8 @@ class Query:
                     some = some.withColumns({"_k": F.col(f"`{s}`.`{k.field}`"), "_t": self._time(frame, s, w)})
                     made.append(J.Side(some, s, w, size, k.one_shot))
                 kind = step.kind
-                rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order)
+                cuts = self._cuts if self.plan.order == "time" and self._looks_at_order(step) else []
+                rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts)
                 if self.plan.hook:
                     for name, df in (("left", made[0].df), ("right", made[1].df), ("joined", rows), ("expired", expired)):
                         self.plan.hook(name, number, df)
