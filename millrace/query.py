@@ -54,6 +54,12 @@ def _source(given, label: str | None = None, **options) -> SchemaFrame | Query:
 class Query:
     def __init__(self, plan: Plan):
         self.plan = plan
+        self._held: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Frees what the query keeps on the executors; it is computed again if the result is asked for again."""
+        for df in self._held:
+            df.unpersist()
 
     # sources
 
@@ -258,7 +264,7 @@ class Query:
                     made.append(J.Side(some, s, w, size, k.one_shot))
                 kind = step.kind
                 cuts = self._cuts if self.plan.order == "time" and self._looks_at_order(step) else []
-                rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts)
+                rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts, self._held if number > 1 else None)
                 if self.plan.hook:
                     for name, df in (("left", made[0].df), ("right", made[1].df), ("joined", rows), ("expired", expired)):
                         self.plan.hook(name, number, df)

@@ -107,7 +107,7 @@ def wrap(
         F.lit(None).cast("string").alias("join_key"),
         F.lit("record").alias("shape"),
     )
-    tagged = df.withColumn(ARRIVAL, arrival(df, order_by)) if ARRIVAL not in df.columns else df
+    tagged = df if ARRIVAL in df.columns and order_by is None else df.withColumn(ARRIVAL, arrival(df, order_by))
     payload = [c for c in payload if c != ARRIVAL]
     out = tagged.filter(ident.isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in payload), meta.alias(META)).alias(name), ARRIVAL)
     return SchemaFrame(out, (name,))
