@@ -41,9 +41,12 @@ class Timeline:
 
 
 def write_replay(df: DataFrame, order: str, folder: str, files: int = 4) -> None:
-    """Writes the rows as files that a stream reads in order."""
-    dealt = df.repartitionByRange(files, order).sortWithinPartitions(order)
-    dealt.write.mode("overwrite").parquet(folder)
+    """Writes the rows as files that a stream reads in order: one range after another, as streams go by the files' age."""
+    from millrace.operators.ranks import bounds, ranged
+
+    dealt = ranged(df, order, bounds(df, order, files))
+    for n in range(files):
+        dealt.filter(F.col("_range") == n).drop("_range").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 1) -> DataFrame:
