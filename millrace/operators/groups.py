@@ -117,3 +117,44 @@ def _expired(keyed: DataFrame, names: tuple[str, ...], window: W.Window) -> Data
     rows = keyed.withColumn("_reason", reason)
     first = names[0]
     return rows.select(*packet(0, first, F.col("_group_key"), F.col("_reason"), F.lit(None).cast("boolean"), F.col(f"`{first}`"), "group"))
+
+
+def nested(df: DataFrame, aggregates: Aggregates, names: tuple[str, ...], window: W.Window = None) -> DataFrame:
+    """Aggregate rows in nested form: `<schema>.<path>._sum.<leaf>` and so on, `_count.<schema>`, `window.start/end`.
+
+    An alias with dots is a path of its own; one without stands beside the leaf it renames.
+    """
+    tree: dict = {}
+
+    def put(path: list[str], column: Column) -> None:
+        at = tree
+        for p in path[:-1]:
+            at = at.setdefault(p, {})
+        at[path[-1]] = column
+
+    counted: dict[str, list[Column]] = {}
+    for kind, agg in aggregates.each():
+        value = F.col(agg.name(kind))
+        *parents, leaf = agg.path.split(".")
+        if agg.alias and "." in agg.alias:
+            put(agg.alias.split("."), value)
+        elif agg.alias:
+            put([*parents, agg.alias], value)
+        else:
+            put([*parents, f"_{kind}", leaf], value)
+        if kind == "count" and parents:
+            counted.setdefault(parents[0], []).append(value)
+    if aggregates.row_count and not aggregates.count:
+        for n in names:
+            put([n, "_count", "id"], F.col(f"{n}__count_id"))
+            counted[n] = [F.col(f"{n}__count_id")]
+    for n, parts in counted.items():
+        put(["_count", n], sum(parts[1:], parts[0]))
+    if isinstance(window, W.Interval):
+        put(["window", "start"], F.col("window_start"))
+        put(["window", "end"], F.col("window_end"))
+
+    def built(node) -> Column:
+        return node if isinstance(node, Column) else F.struct(*(built(v).alias(k) for k, v in node.items()))
+
+    return df.select("_group_key", "_group_name", "_count_all", *(built(v).alias(k) for k, v in tree.items()))

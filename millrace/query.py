@@ -14,7 +14,7 @@ from millrace.functions.paths import Path, expression, get, row
 from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.operators.distinct import distinct
-from millrace.operators.groups import group
+from millrace.operators.groups import group, nested
 from millrace.operators.ranks import bounds
 from millrace.plans.aggregates import Aggregates
 from millrace.plans.model import DistinctStep, JoinStep, Plan, keys
@@ -357,6 +357,14 @@ class Query:
         last = df.groupBy("_group_key").agg(F.max_by(F.struct(*(f"`{c}`" for c in cols)), ARRIVAL).alias("_s"))
         return last.select("_group_key", *(F.col(f"_s.`{c}`").alias(c) for c in cols))
 
+    def nested(self) -> DataFrame:
+        """Aggregate rows as nested structs, by schema, kind and leaf."""
+        if self.plan.group_key is None or self.plan.enrich:
+            raise ValueError("nested needs group_by")
+        w = self.plan.group_window if self.plan.group_window_set else W.Interval(0)
+        names = tuple(self.plan.selection.values()) if self.plan.selection else tuple(n for s in (self.plan.source, *(j.source for j in self.plan.joins)) for n in s.names)
+        return nested(self.frame.df, self.plan.aggregates, names, w)
+
     def reingest(self, label: str | None = None, id_field: str | None = None, id_selector=None) -> SchemaFrame:
         """This query's result as a source. Aggregate rows become records whose id falls back to the group key."""
         built, _, _, group_name = self._built

@@ -335,3 +335,26 @@ def test_final_tap_and_sinks(spark):
     assert len(bucket) == 2
     q.df.collect()
     assert q.observations["seen"].get["rows"] == 2
+
+
+def test_nested_aggregate_rows(spark):
+    q = Query.from_(values(spark, 10, 20)).group_by(row.s.key).group_window(count=2)
+    made = q.aggregates(sum=["s.value"], max=[Agg("s.value", "top")], min=[Agg("s.value", "stats.low")]).nested()
+    last = made.orderBy(F.col("_count_all").desc()).first()
+    assert (last["s"]["_sum"]["value"], last["s"]["top"], last["stats"]["low"]) == (30.0, 20.0, 10.0)
+    assert (last["s"]["_count"]["id"], last["_count"]["s"]) == (2, 2)
+
+
+def test_colours():
+    from millrace.functions.colors import hsv_to_rgb, rainbow
+
+    assert hsv_to_rgb(0, 1, 1) == (1.0, 0.0, 0.0)
+    hues = rainbow(6, reserved=[0.0], gap=0.05)
+    assert len(set(hues)) == 6 and all(min(abs(h), 1 - abs(h)) >= 0.05 for h in hues)
+
+
+def test_clamp(spark):
+    from millrace.functions.paths import clamp, clamp01
+
+    r = spark.range(1).select(clamp(F.lit(7.0), 1, 5).alias("a"), clamp01(F.lit(-1.0)).alias("b")).first()
+    assert (r.a, r.b) == (5.0, 0.0)
