@@ -35,6 +35,8 @@ ROWS = 4000
 SHORTEST, LONGEST = 4, 12
 #: An entry is that many standard deviations commoner in toxic documents, and in so large a share of its documents.
 SIGMAS, PURITY = 6.0, 0.8
+#: A longer beginning replaces one if it keeps that share of its toxic documents and has fewer others.
+KEEPS = 0.9
 HARMLESS = 3
 THRESHOLD = 0.3
 #: Letters of other scripts that look like Latin ones, and the signs and digits that stand for letters.
@@ -164,6 +166,10 @@ def _learn_terms(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
         counts[int(label)].update(found)
     n = (max(1, len(toxic) - int(toxic.sum())), max(1, int(toxic.sum())))
     share = n[1] / (n[0] + n[1])
+    longer: dict[str, list[str]] = {}
+    for p in counts[1]:
+        if len(p) > SHORTEST + 1:
+            longer.setdefault(p[:-1], []).append(p)
     terms: dict[str, float] = {}
     for p in sorted(counts[1], key=lambda p: (len(p.rstrip()), p)):
         a, b = counts[1][p], counts[0][p]
@@ -171,7 +177,9 @@ def _learn_terms(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
         purity = (a / n[1]) / (a / n[1] + b / n[0])
         if purity < PURITY or a - expected < SIGMAS * math.sqrt(expected * (1 - share)) or any(p[:k] in terms for k in range(SHORTEST + 1, len(p))):
             continue
-        terms[p] = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+        while better := [q for q in longer.get(p, ()) if counts[1][q] >= KEEPS * counts[1][p] and counts[0][q] < counts[0][p]]:
+            p = max(better, key=lambda q: (counts[1][q], q))
+        terms[p] = math.log((counts[1][p] + 0.5) / (n[1] + 1)) - math.log((counts[0][p] + 0.5) / (n[0] + 1))
     return terms
 
 
