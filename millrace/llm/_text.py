@@ -77,6 +77,13 @@ def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[list[int], li
         yield at, got
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches of fewer rows, so that what a worker holds does not follow the size of a batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """The joined text, its code points, and the offsets of the texts (one more than texts)."""
     joined = "".join(texts)
@@ -281,7 +288,7 @@ class Rows:
 
     def of(self, hashes: np.ndarray, make) -> np.ndarray:
         """Row numbers in `values`; make(places among `hashes`) gives the rows of those not met before."""
-        if len(self.slots) + len(hashes) > len(self.known) + self.limit + len(hashes):
+        if len(self.slots) > len(self.known) + self.limit:
             self.clear()
         keys = hashes.tolist()
         got = [self.slots.get(k, -1) for k in keys]

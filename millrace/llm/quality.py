@@ -4,7 +4,8 @@ Every token (a piece of the public byte-level pattern, folded to lower case for
 its vector's place) has a sparse random index vector drawn from its hash. The context vector of
 a frequent token is the sum of the index vectors around it in the training texts. A document is
 the mean of its tokens' index and context vectors, with the squared length of the mean index
-vector (which measures repetition) and its size. A two-layer network gives a logit; a temperature
+vector (which measures repetition), how often a vector returns after one or two tokens, and its
+size. A two-layer network gives a logit; a temperature
 fitted on rows kept back turns it into a calibrated probability.
 
 The model is fitted on about ROWS labelled documents of each label (documented bound); every
@@ -28,7 +29,9 @@ from millrace.llm.toxicity import score_documents
 ROWS = 4000
 INDEX, NONZERO, CONTEXT_TOKENS, AROUND = 48, 4, 8_000, 2
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 60, 128, 3e-3, 5
-KEPT_BACK = 5
+KEPT_BACK, DECAY = 5, 3e-3
+#: Tokens, code points and vectors held at a time.
+SLICE, CHUNK, VECTORS = 100_000, 200_000, 60_000
 THRESHOLD = 0.7
 
 
@@ -66,15 +69,20 @@ class Model:
 
     def pool(self, texts: list[str]) -> np.ndarray:
         if self.rows is None:
-            self.rows = _text.Rows(self.tokens, np.concatenate((index_vectors(self.tokens), self.context), axis=1))
+            self.rows = _text.Rows(self.tokens, np.concatenate((index_vectors(self.tokens), self.context), axis=1), VECTORS)
         total, size = np.zeros((len(texts), 2 * INDEX)), np.zeros(len(texts), np.int64)
-        for at, parts in _text.chunks(texts):
+        again = np.zeros((len(texts), 2))
+        for at, parts in _text.chunks(texts, CHUNK):
             hashes, first = _tokens(parts)
             n = np.diff(first)
             where = np.array(at, np.int64)
             np.add.at(size, where, n)
             if not len(hashes):
                 continue
+            doc = np.repeat(np.arange(len(parts)), n)
+            for k in (1, 2):
+                same = (hashes[k:] == hashes[:-k]) & (doc[k:] == doc[:-k])
+                np.add.at(again[:, k - 1], where, np.bincount(doc[k:][same], minlength=len(parts)))
             back, found, _ = _text.distinct(hashes)
             rows = self.rows.of(found, lambda new, found=found: self._vectors(found[new]))[back]
             some = np.flatnonzero(n)
@@ -82,7 +90,8 @@ class Model:
             np.add.at(total, where[some], sums)
         mean = total / np.maximum(size, 1)[:, None]
         repeat = (mean[:, :INDEX] ** 2).sum(axis=1)
-        return np.concatenate((mean, repeat[:, None], np.log(repeat + 1e-4)[:, None], np.log1p(size)[:, None]), axis=1)
+        again /= np.maximum(size, 1)[:, None]
+        return np.concatenate((mean, again, repeat[:, None], np.log(repeat + 1e-4)[:, None], np.log1p(size)[:, None]), axis=1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -104,14 +113,15 @@ def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((found, -np.bincount(back)))[:CONTEXT_TOKENS]
     place = np.full(len(found), -1)
     place[order] = np.arange(len(order))
-    vectors = index_vectors(found)
     total = np.zeros((len(order), INDEX), np.float64)
     for shift in range(1, AROUND + 1):
         for a, b in ((back[:-shift], back[shift:]), (back[shift:], back[:-shift])):
-            keep = place[a] >= 0
-            rows, other = place[a][keep], vectors[b[keep]]
-            for d in range(INDEX):
-                total[:, d] += np.bincount(rows, weights=other[:, d], minlength=len(order))
+            for k in range(0, len(a), SLICE):
+                row, other = place[a[k : k + SLICE]], b[k : k + SLICE]
+                keep = row >= 0
+                around = index_vectors(found[other[keep]])
+                for d in range(INDEX):
+                    total[:, d] += np.bincount(row[keep], weights=around[:, d], minlength=len(order))
     length = np.linalg.norm(total, axis=1, keepdims=True)
     return found[order], (total / np.maximum(length, 1e-9)).astype(np.float32)
 
@@ -128,7 +138,7 @@ def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list:
             p = 1 / (1 + np.exp(-(h @ layers[2] + layers[3])))
             d = weight[i] * (p - y[i]) / len(i)
             back = np.outer(d, layers[2]) * (1 - h * h)
-            slopes = [x[i].T @ back + 1e-4 * layers[0], back.sum(0), h.T @ d + 1e-4 * layers[2], np.array([d.sum()])]
+            slopes = [x[i].T @ back + DECAY * layers[0], back.sum(0), h.T @ d + DECAY * layers[2], np.array([d.sum()])]
             t += 1
             rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for j, g in enumerate(slopes):
