@@ -36,10 +36,12 @@ from millrace.llm._train import crc_fold
 FOLDS = 7
 ROWS, CHARS = 2500, 20_000
 TOP = 1 << 18
-CONTEXT, WIDTH, SINGLE, CLUSTERS = 16, 16, 96, 64
+CONTEXT, WIDTH, SINGLE, CLUSTERS = 16, 16, 32, 32
 EPOCHS, BATCH, RATE, SEED, TOKENS = 2, 128, 1e-2, 11, 500_000
 END, BOS, PAD = 0, 1, 2
 _OTHERS = 3
+#: Logits up to here stay finite in float32 sums of exponentials.
+SAFE = 60.0
 
 
 @lru_cache(2)
@@ -204,6 +206,9 @@ class Network:
         if self.tables is None:
             self.tables = {k: np.ascontiguousarray(self.embed @ self.w[k], np.float32) for k in "qkvu"}
             self.tables["q"] = self.tables["q"] / np.float32(np.sqrt(WIDTH))
+            # tanh is within 1, so this bounds every class's logit; below SAFE no maximum is needed by row
+            self.high = float((np.abs(self.w["c"]).sum(axis=0) + np.abs(self.w["b"])).max())
+            self.ones = np.ones(SINGLE + CLUSTERS, np.float32)
             self.shift = (self.w["r"][self.far] + self.mask).astype(np.float32)
         q, k, v, u = (self.tables[c] for c in "qkvu")
         seen, target, _ = self.blocks(texts)
@@ -219,18 +224,20 @@ class Network:
                 s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
             s -= s.max(axis=2, keepdims=True)
             np.exp(s, out=s)
-            s /= s.sum(axis=2, keepdims=True)
             z = s @ v[x]
+            z /= s.sum(axis=2, keepdims=True)
             z += u[last]
             np.tanh(z, out=z)
             z = z.reshape(-1, WIDTH) @ self.w["c"]
             z += self.w["b"]
             flat = y.ravel()
             hit = z[np.arange(len(z)), self.kind[flat]]
-            top = z.max(axis=1)
-            z -= top[:, None]
+            if self.high > SAFE:
+                top = z.max(axis=1, keepdims=True)
+                z -= top
+                hit = hit - top[:, 0]
             np.exp(z, out=z)
-            out[a * CONTEXT : a * CONTEXT + len(flat)] = hit - top - np.log(z.sum(axis=1)) + self.share[flat]
+            out[a * CONTEXT : a * CONTEXT + len(flat)] = hit - np.log(z @ self.ones) + self.share[flat]
         return out[target.ravel() != PAD]
 
     def score(self, ids: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
