@@ -37,7 +37,8 @@ SHORTEST, LONGEST = 4, 12
 SIGMAS, PURITY = 6.0, 0.8
 #: A longer beginning replaces one if it keeps that share of its toxic documents and has fewer others.
 KEEPS = 0.9
-HARMLESS = 3
+#: Toxic documents that an entry needs, and harmless ones that a phrase needs.
+FEWEST, HARMLESS = 3, 3
 THRESHOLD = 0.3
 #: Letters of other scripts that look like Latin ones, and the signs and digits that stand for letters.
 HOMOGLYPHS = {
@@ -156,14 +157,23 @@ def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _learn_terms(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    counts = (Counter(), Counter())
-    for words, label in zip(docs, toxic, strict=True):
+    def beginnings(words: list[str]) -> set[str]:
         found = set()
         for w in words:
             if len(w) >= SHORTEST:
                 found.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
                 found.add(f" {w} ")
-        counts[int(label)].update(found)
+        return found
+
+    counts = (Counter(), Counter())
+    for words, label in zip(docs, toxic, strict=True):
+        if label:
+            counts[1].update(beginnings(words))
+    for p in [p for p, n in counts[1].items() if n < FEWEST]:
+        del counts[1][p]
+    for words, label in zip(docs, toxic, strict=True):
+        if not label:
+            counts[0].update(p for p in beginnings(words) if p in counts[1])
     n = (max(1, len(toxic) - int(toxic.sum())), max(1, int(toxic.sum())))
     share = n[1] / (n[0] + n[1])
     longer: dict[str, list[str]] = {}
