@@ -24,8 +24,15 @@ def crc_mod(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: What an Arrow batch holds at most, unless the session says otherwise: it exists in the JVM and in the worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers that this driver starts import the package from its own folder."""
+    """Lets Python workers that this driver starts import the package from its own folder; keeps their batches small."""
+    for name, (usual, small) in BATCH.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, small)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in paths.split(os.pathsep):

@@ -28,6 +28,8 @@ from millrace.llm._train import crc_fold, sample_ids
 ROWS = 1500
 CHARS = 20_000
 WORDS, GRAMS, LONGEST, LEAST = 60_000, 40_000, 4, 3
+#: Unseen words whose scores a worker remembers.
+UNSEEN = 60_000
 #: Words that count as independent evidence for the score.
 EVIDENCE = 8
 UNKNOWN = "und"
@@ -124,7 +126,7 @@ class Model:
         k = len(self.langs)
         total, words = np.zeros((len(texts), max(1, k))), np.zeros(len(texts), np.int64)
         if k and self.cache is None:
-            self.cache = _text.Rows(*self.words)
+            self.cache = _text.Rows(*self.words, UNSEEN)
         for at, parts in _text.chunks(texts):
             low, start, end, doc = _words(parts)
             if not k or not len(start):
