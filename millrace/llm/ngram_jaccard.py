@@ -8,8 +8,8 @@ A document is the set of its distinct shingles; two link at NUM/DEN similarity o
    estimated candidates of its prefix: two documents that link share at least min(l, l')
    shingles of their prefixes (and none more is dropped).
 3. Families. The centre of a shingle is the document of its posting with the commonest
-   shingles; a document joins the centre that most of its prefix points to, if that is a good
-   part of it. Documents that link to their centre are done. Let D = x ^ centre. As
+   shingles; a document joins the centre that spares it most candidates, if these are many or a
+   good part of its prefix points there. Documents that link to their centre are done. Let D = x ^ centre. As
    |x ^ y| = |D_x ^ D_y|, a document that does not link to its centre needs shingles outside
    the centre in common with any partner of its family: at least `_least_shared`. Those that
    cannot have so many are alone in their family; the others are compared with it in blocks of
@@ -39,10 +39,12 @@ from millrace.llm._components import components
 WORDS, NUM, DEN = 4, 85, 100
 SKETCH = 1 << 16
 TOKEN_BITS = 1 << 26
-#: Share of its prefix by which a document joins a centre.
-NEAR = 0.15
+#: Share of its prefix by which a document joins a centre, or candidates that it would have outside.
+NEAR, COSTLY = 0.15, 64
+#: Code points that a worker hashes at a time.
+CHUNK = 250_000
 #: Documents on either side of a comparison.
-BLOCK = 512
+BLOCK = 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ def word_hashes(texts: list[str]) -> Iterator[np.ndarray]:
     """Hash of every word of each text: runs of anything but ASCII white space, A-Z lower-cased."""
     held: list[np.ndarray] = []
     last = -1
-    for at, parts in _text.chunks(texts):
+    for at, parts in _text.chunks(texts, CHUNK):
         _, codes, bounds = _text.points(parts)
         low = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
         white = (codes == 32) | ((codes >= 9) & (codes <= 13))
@@ -95,7 +97,7 @@ def prefix(own: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.
     excess = np.cumsum(np.maximum(count[order] - usual - 4 * np.sqrt(usual) - 1, 0))
     need = _need(n, num, den)
     best, cost = 1, np.inf
-    for l in sorted({min(need, x) for x in (1 + n // 50, 2 + n // 25, 3 + n // 12)}):
+    for l in sorted({min(need, x) for x in (2 + n // 25, 3 + n // 12)}):
         size = n - need + l
         now = size + excess[size - 1] / l
         if now < cost:
@@ -122,7 +124,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         cells = np.zeros(SKETCH, np.int64)
         names = ["kind", "id", "n", "h1", "h2"]
-        for batch in batches:
+        for batch in _text.sliced(batches):
             n, h1, h2 = [], [], []
             for words in word_hashes(_texts(batch)):
                 own = shingles(words, size)
@@ -146,7 +148,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, num: int, den: int
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             ids, parts, n, least = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
             for words in word_hashes(_texts(batch)):
                 own = shingles(words, size)
@@ -166,7 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> Da
     """(id, set) of the wanted ids, and of some others that the fixed-size filter lets pass."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             made = [shingles(words, size).astype("<u8").tobytes() for words in word_hashes(_texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "set"])
 
@@ -174,9 +176,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> Da
     return scratch.put(near.mapInArrow(run, "id long, set binary"), "sets")
 
 
+def _only(sets: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The sets of the ids in a column of `wanted`, and a few others: what is not needed is not shuffled."""
+    return mark(sets, key_filter(wanted.select(F.col(name).alias("id")), "id"), "_in", "id").filter("_in").select("id", "set")
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, x: str, y: str) -> DataFrame:
-    left = sets.select(F.col("id").alias(x), F.col("set").alias("_sx"))
-    right = sets.select(F.col("id").alias(y), F.col("set").alias("_sy"))
+    left = _only(sets, pairs, x).select(F.col("id").alias(x), F.col("set").alias("_sx"))
+    right = _only(sets, pairs, y).select(F.col("id").alias(y), F.col("set").alias("_sy"))
     return pairs.join(left, x).join(right, y)
 
 
@@ -184,7 +191,7 @@ def _common(pairs: DataFrame, kinds: str, x: str, y: str, extra: bool = False) -
     """Adds `both` (shingles in common) to pairs with sets and, if `extra`, `own` (those of x that y lacks)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.sliced(batches):
             sx, sy = batch.column(batch.schema.get_field_index("_sx")), batch.column(batch.schema.get_field_index("_sy"))
             both, own = [], []
             for a, b in zip(sx, sy, strict=True):
@@ -273,9 +280,9 @@ def _links(docs: DataFrame, sketch: np.ndarray, reps: DataFrame, scratch: Scratc
     weight = scratch.put(live.groupBy("id").agg(F.sum("df").alias("w")), "weights")
     top = live.join(weight, "id").groupBy("tok").agg(F.max(F.struct("w", (-F.col("id")).alias("_i"), F.col("n").alias("np"))).alias("_t"))
     centres = scratch.put(top.select("tok", (-F.col("_t._i")).alias("fam"), "_t.np"), "centres")
-    points = live.join(centres, "tok").groupBy("id", "n", "k", "l", "fam", "np").agg(F.count("*").alias("_c"))
-    best = points.filter("fam <> id").groupBy("id", "n", "k").agg(F.max(F.struct("_c", (-F.col("fam")).alias("_f"), "np")).alias("_b"))
-    near = (F.col("_b._c") >= F.greatest(F.lit(2), F.ceil(F.col("k") * NEAR))) | ((F.col("k") <= 2) & (F.col("_b._c") >= 1))
+    points = live.join(centres, "tok").groupBy("id", "n", "k", "l", "fam", "np").agg(F.count("*").alias("_c"), F.sum("df").alias("_cost"))
+    best = points.filter("fam <> id").groupBy("id", "n", "k").agg(F.max(F.struct("_cost", "_c", (-F.col("fam")).alias("_f"), "np")).alias("_b"))
+    near = (F.col("_b._cost") >= COSTLY) | (F.col("_b._c") >= F.greatest(F.lit(2), F.ceil(F.col("k") * NEAR))) | ((F.col("k") <= 2) & (F.col("_b._c") >= 1))
     family = scratch.put(best.filter(near).select("id", "n", (-F.col("_b._f")).alias("fam"), "_b.np"), "families")
     scratch.drop(weight, centres)
 
@@ -299,8 +306,9 @@ def _links(docs: DataFrame, sketch: np.ndarray, reps: DataFrame, scratch: Scratc
     loose = scratch.put(loose.select("fam", "id"), "loose")
     members = delta.select("fam", "id", "linked").join(loose.select(F.col("id").alias("_l")), F.col("id") == F.col("_l"), "left")
     members = members.filter("linked or _l is not null").select("fam", "id").join(loose.select("fam").distinct(), "fam", "left_semi")
-    some = scratch.put(members.join(sets, "id").select("fam", "id", "set"), "members")
-    inside = scratch.put(_compare_blocks(scratch.put(loose.join(sets, "id").select("fam", "id", "set"), "loose-sets"), some, num, den), "inside")
+    members = scratch.put(members, "members")
+    with_set = lambda df, name: scratch.put(df.join(_only(sets, df, "id"), "id").select("fam", "id", "set"), name)
+    inside = scratch.put(_compare_blocks(with_set(loose, "loose-sets"), with_set(members, "member-sets"), num, den), "inside")
     scratch.drop(sets)
 
     group = scratch.put(delta.select("id", "fam", F.when(F.col("linked"), F.col("fam")).otherwise(F.col("id")).alias("grp")), "groups")
