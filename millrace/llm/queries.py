@@ -29,6 +29,7 @@ QUERIES = {
 }
 SQL = {
     "op4_decontaminate": decontaminate.SQL,
+    "op5_ngram_jaccard": ngram_jaccard.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
