@@ -6,12 +6,13 @@ share of the class in the whole training corpus. The class comes from one head o
 attention with learned distances over the last CONTEXT to 2 * CONTEXT - 1 ids and the id just
 before: texts are cut into blocks of CONTEXT ids, every block is scored once, and its window
 overlaps the block before. A word's probability is interpolated with its share of the training
-corpus, if its count is among the top TOP; the weight of the two is fitted with the network.
+corpus; the weight of the two is fitted with the network.
 
 Counts of words and of ids cover every training text (crc32 of the id modulo 7 is not 2) and
 grow with the corpus. Only the network's weights and the classes are fitted on about ROWS
 training documents (documented bound). Words with a count in the top TOP are shared with all
-tasks; counts of all other words are joined on, so that every count is exact.
+tasks; the network's log probabilities of all other words are joined to their counts and
+interpolated there, so that every count and share is exact whatever TOP is.
 
 Defined cases: a null text counts as empty and scores its end alone; without training texts
 counts are 0 and the network keeps its random weights; every row of the input gives one row;
@@ -23,7 +24,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -240,12 +241,20 @@ class Network:
             out[a * CONTEXT : a * CONTEXT + len(flat)] = hit - np.log(z @ self.ones) + self.share[flat]
         return out[target.ravel() != PAD]
 
-    def score(self, ids: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text. `sizes`: ids of each word; `shares`: log share of each word in the corpus, -inf if unknown."""
+    def score(self, ids: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text, and the network's own of every word and end, one after another.
+
+        `sizes`: ids of each word; `shares`: log share of each word in the corpus, -inf if it is unknown or joined on later.
+        """
         word, share, count = self._by_word(ids, sizes, shares)
         both = np.logaddexp(np.log(self.weight) + share, np.log1p(-self.weight) + word)
         ends = np.cumsum(count)
-        return np.add.reduceat(both, ends - count) / np.log(10)
+        return np.add.reduceat(both, ends - count), word
+
+    def gain(self, total: int) -> str:
+        """SQL for what a word's corpus share adds to a text's log probability: `n` is its count, `each` its log probabilities by the network."""
+        odds = f"({float(np.log(self.weight) - np.log1p(-self.weight) - np.log(total))!r}D + ln(n) - x)"
+        return f"aggregate(each, 0D, (a, x) -> a + greatest({odds}, 0D) + log1p(exp(-abs({odds}))))"
 
     def _by_word(self, ids, sizes, shares):
         size = np.concatenate(sizes)
@@ -367,7 +376,11 @@ def fit(docs: DataFrame, counts: DataFrame, shares: Shares, path: str, id_col: s
         net.train(ids)
     net.shares(every)
     if ids:
-        net.weigh(ids, sizes, [shares.logs(shares.of(w)) for w in words])
+        own = np.unique(np.concatenate(words))
+        rare = docs.sparkSession.createDataFrame(pd.DataFrame({"key": own[shares.of(own) == 0].view(np.int64)}), "key long")
+        rare = counts.filter("kind = 0").join(F.broadcast(rare), "key").select("key", "n").toPandas()
+        less = Shares(rare["key"].to_numpy(np.int64).view(np.uint64), rare["n"].to_numpy(), shares.ends, shares.total)
+        net.weigh(ids, sizes, [shares.logs(shares.of(w) + less.of(w)) for w in words])
     return net
 
 
@@ -392,14 +405,15 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     top = counts.filter(f"kind = 0 and n >= {least}").select("key", "n").toPandas()
     shares = Shares(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(), ends, total)
     common = spark.sparkContext.broadcast(shares)
-    net = spark.sparkContext.broadcast(fit(train, counts, shares, path))
+    fitted = fit(train, counts, shares, path)
+    net = spark.sparkContext.broadcast(fitted)
     end_log = float(np.log10(ends + 1))
 
     def run(batches):
         shares = common.value
         task, row = TaskContext.get().partitionId() << 36, 0
-        names = ["row", "id", "held_out", "tokens", "known", "logs", "score", "word", "times"]
-        rest = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["row", "id", "held_out", "tokens", "known", "logs", "score", "word", "each"]
+        rest = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
         for batch in batches:
             texts, held = _texts(batch), crc_fold(batch.column(0).to_pylist(), FOLDS)
             rest[1] = batch.column(0).type
@@ -412,8 +426,8 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                     continue
                 ids, words, sizes = _ids_of([texts[j] for j in some], path)
                 counted = [shares.of(w) for w in words]
-                score = net.value.score(ids, sizes, [shares.logs(c) for c in counted])
-                tokens, seen, sums, rare = [], [], [], []
+                score, logs = net.value.score(ids, sizes, [shares.logs(c) for c in counted])
+                tokens, seen, sums, rare, at = [], [], [], [], 0
                 for k, (w, c) in enumerate(zip(words, counted, strict=True)):
                     hit = c > 0
                     tokens.append(len(w) + 1)
@@ -421,28 +435,33 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                     sums.append(float(np.log10(c[hit] + 1).sum()) + end_log)
                     if not hit.all():
                         back, found, _ = _text.distinct(w[~hit])
-                        rare.append((task + row + k, found, np.bincount(back)))
+                        each = logs[at : at + len(w)][~hit][np.argsort(back, kind="stable")]
+                        rare.append((task + row + k, found, np.bincount(back), each))
+                    at += len(w) + 1
                 own = task + row + np.arange(len(some))
-                none = pa.nulls(len(some), pa.int64())
+                none = [pa.nulls(len(some), t) for t in rest[-2:]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own), batch.column(0).take(pa.array(some)), pa.array([held[j] for j in some]), pa.array(tokens, pa.int64()),
-                     pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), none, none], names)
+                     pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), *none], names)
                 if rare:
-                    length = [len(f) for _, f, _ in rare]
-                    word = np.concatenate([f for _, f, _ in rare]).astype(np.int64)
-                    owner = np.repeat(np.array([r for r, _, _ in rare], np.int64), length)
+                    length = [len(x[1]) for x in rare]
+                    word = np.concatenate([x[1] for x in rare]).view(np.int64)
+                    owner = np.repeat(np.array([x[0] for x in rare], np.int64), length)
+                    cuts = np.append(0, np.cumsum(np.concatenate([x[2] for x in rare]))).astype(np.int32)
+                    each = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([x[3] for x in rare])))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(owner), *(pa.nulls(len(word), t) for t in rest[1:]), pa.array(word), pa.array(np.concatenate([n for _, _, n in rare]).astype(np.int64))], names)
+                        [pa.array(owner), *(pa.nulls(len(word), t) for t in rest[1:-2]), pa.array(word), each], names)
                 row += len(some)
                 some, size = [], 0
 
-    schema = f"row long, id {kind}, held_out boolean, tokens long, known long, logs double, score double, word long, times long"
+    schema = f"row long, id {kind}, held_out boolean, tokens long, known long, logs double, score double, word long, each array<double>"
     made = scratch.put(docs.mapInArrow(run, schema), "scores")
-    rare = made.filter("word is not null").select("row", "word", "times")
+    rare = made.filter("word is not null").select("row", "word", "each")
     other = counts.filter(f"kind = 0 and n < {least}").select(F.col("key").alias("word"), "n")
-    more = rare.join(other, "word").groupBy("row").agg(F.sum("times").alias("_k"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_l"))
+    times = F.size("each")
+    more = rare.join(other, "word").groupBy("row").agg(F.sum(times).alias("_k"), F.sum(times * F.log10(F.col("n") + 1)).alias("_l"), F.sum(F.expr(fitted.gain(max(1, total)))).alias("_s"))
     more = scratch.put(more, "rare")
-    rows = made.filter("word is null").drop("word", "times").join(more, "row", "left")
+    rows = made.filter("word is null").drop("word", "each").join(more, "row", "left")
     floor = float(np.log10(total + kinds + 1))
     return rows.select(
         F.col("id").alias(id_col),
@@ -451,7 +470,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         (F.col("known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("_l", F.lit(0.0)) - F.col("tokens") * floor).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("_s", F.lit(0.0))) / float(np.log(10))).alias("score"),
     )
 
 

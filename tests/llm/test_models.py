@@ -115,6 +115,16 @@ def test_lm_counts_against_brute_force(spark, monkeypatch):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_lm_scores_do_not_depend_on_what_is_shared(spark, monkeypatch):
+    rows = [(i, f"the cat sat on mat{i % 5} by rare{i // 2} rare{i // 2} once{i}") for i in range(60)] + [(100, "never seen"), (101, "once3 once3 the rare4"), (102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for top in (1 << 18, 6, 0):
+        monkeypatch.setattr(lm_score, "TOP", top)
+        made.append({r.doc_id: r.score for r in lm_score.score_documents(df, P.path(byte_bpe.RANKS)).collect()})
+    assert made[1] == pytest.approx(made[0], rel=1e-9) and made[2] == pytest.approx(made[0], rel=1e-9)
+
+
 def test_lm_scores_every_id_once():
     net = lm_score.Network(60)
     draw = np.random.default_rng(0)
