@@ -8,11 +8,18 @@ before: texts are cut into blocks of CONTEXT ids, every block is scored once, an
 overlaps the block before. A word's probability is interpolated with its share of the training
 corpus; the weight of the two is fitted with the network.
 
-Counts of words and of ids cover every training text (crc32 of the id modulo 7 is not 2) and
-grow with the corpus. Only the network's weights and the classes are fitted on about ROWS
-training documents (documented bound). Words with a count in the top TOP are shared with all
-tasks; the network's log probabilities of all other words are joined to their counts and
-interpolated there, so that every count and share is exact whatever TOP is.
+Everything is learned from every training text (crc32 of the id modulo 7 is not 2) and grows
+with the corpus. Counts of words and of ids, and the sums of the ids around each id that make
+the classes and the first embeddings, are added up over all of them. The weights start from
+TOKENS ids drawn evenly by a hash of the document's id; from there each task goes once through
+all ids of its training rows, and the changes are averaged by the ids they come from. The
+weight of the corpus shares is fitted to a histogram over all training words, each scored
+before the network learned from it. Changes are added up as integers, so the order of tasks
+does not matter; which rows share a task does, a little.
+
+Words with a count in the top TOP are shared with all tasks; the network's log probabilities of
+all other words are joined to their counts and interpolated there, so that every count and share
+is exact whatever TOP is.
 
 Defined cases: a null text counts as empty and scores its end alone; without training texts
 counts are 0 and the network keeps its random weights; every row of the input gives one row;
@@ -21,6 +28,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +49,10 @@ CONTEXT, WIDTH, SINGLE, CLUSTERS = 16, 16, 32, 32
 EPOCHS, BATCH, RATE, SEED, TOKENS = 2, 128, 1e-2, 11, 500_000
 END, BOS, PAD = 0, 1, 2
 _OTHERS = 3
+#: Blocks of a step and the rate of the pass over all training texts, which falls with the root of the steps in HALF.
+PASS_BATCH, PASS_RATE, HALF = 128, 6e-3, 1000
+#: Changes are added up in units of 1 / UNIT; log odds in steps of STEP up to FAR, beyond which they are certain.
+UNIT, STEP, FAR = 1 << 20, 0.01, 40.0
 #: Logits up to here stay finite in float32 sums of exponentials.
 SAFE = 60.0
 
@@ -101,14 +113,37 @@ class Network:
 
     def classes(self, counts: np.ndarray, texts: list[np.ndarray]) -> None:
         """The commonest ids have a class each; the others are grouped by the ids around them."""
-        draw = np.random.default_rng(SEED)
-        around = np.zeros((self.size, WIDTH))
-        index = draw.normal(0, 1, (self.size, WIDTH))
+        self.group(counts, self.around(texts))
+
+    def index(self) -> np.ndarray:
+        """A random vector for each id, in whole 1024ths so that sums do not depend on their order."""
+        made = np.rint(np.random.default_rng(SEED).normal(0, 1024, (self.size, WIDTH))).astype(np.float32)
+        made[PAD] = 0
+        return made
+
+    def around(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Sums of the vectors of the three ids before and after each id."""
+        flat = np.full(sum(len(x) + 3 for x in texts) + 3, PAD, np.int64)
+        at = 3
         for ids in texts:
-            for shift in (1, 2, 3):
-                np.add.at(around, ids[shift:], index[ids[:-shift]])
-                np.add.at(around, ids[:-shift], index[ids[shift:]])
-        around /= np.linalg.norm(around, axis=1, keepdims=True) + 1e-6
+            flat[at : at + len(ids)] = ids
+            at += len(ids) + 3
+        found, near = np.unique(flat, return_inverse=True)
+        own = (self.index() if self.vectors is None else self.vectors)[flat]
+        total = np.zeros_like(own)
+        for shift in (1, 2, 3):
+            total[shift:] += own[:-shift]
+            total[:-shift] += own[shift:]
+        out = np.zeros((self.size, WIDTH))
+        for c in range(WIDTH):
+            out[found, c] = np.bincount(near, weights=total[:, c])
+        out[PAD] = 0
+        return out
+
+    def group(self, counts: np.ndarray, around: np.ndarray) -> None:
+        """Classes and first embeddings from the sums around each id."""
+        index = self.index() / 1024
+        around = around / (np.linalg.norm(around, axis=1, keepdims=True) + 1e-6)
         self.embed = (around + 0.05 * index).astype(np.float32)
         order = np.argsort(-counts, kind="stable")
         rest = order[SINGLE:]
@@ -146,60 +181,14 @@ class Network:
     def train(self, texts: list[np.ndarray]) -> None:
         seen, target, _ = self.blocks(texts)
         draw = np.random.default_rng(SEED)
-        params = {"e": self.embed, **self.w}
-        first, second = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
-        steps, done = max(1, EPOCHS * -(-len(seen) // BATCH)), 0
-        n = CONTEXT - 1
-        scale = np.float32(1 / np.sqrt(WIDTH))
+        steps = max(1, EPOCHS * -(-len(seen) // BATCH))
+        steady = Steps(self)
         for _ in range(EPOCHS):
             order = draw.permutation(len(seen))
             for a in range(0, len(order), BATCH):
-                x, y = seen[order[a : a + BATCH]], target[order[a : a + BATCH]]
-                e = params["e"][x]
-                eq = e[:, n:]
-                q, k, v, u = eq @ params["q"], e @ params["k"], e @ params["v"], eq @ params["u"]
-                s = (q @ k.transpose(0, 2, 1)) * scale + params["r"][self.far] + self.mask + np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-                s -= s.max(axis=2, keepdims=True)
-                p = np.exp(s)
-                p /= p.sum(axis=2, keepdims=True)
-                z = np.tanh(p @ v + u)
-                out = z @ params["c"] + params["b"]
-                out -= out.max(axis=2, keepdims=True)
-                prob = np.exp(out)
-                prob /= prob.sum(axis=2, keepdims=True)
-                real = (y != PAD)[..., None]
-                d = prob.copy()
-                np.put_along_axis(d, self.kind[y][..., None], np.take_along_axis(d, self.kind[y][..., None], 2) - 1, 2)
-                d = (d * real / max(1, real.sum())).astype(np.float32)
-                dz = (d @ params["c"].T) * (1 - z * z)
-                dp, dv = dz @ v.transpose(0, 2, 1), p.transpose(0, 2, 1) @ dz
-                ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-                dq, dk = (ds @ k) * scale, (ds.transpose(0, 2, 1) @ q) * scale
-                de = dk @ params["k"].T + dv @ params["v"].T
-                de[:, n:] += dq @ params["q"].T + dz @ params["u"].T
-                flat = lambda t: t.reshape(-1, t.shape[-1])
-                grads = {
-                    "q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "u": flat(eq).T @ flat(dz),
-                    "c": flat(z).T @ flat(d), "b": flat(d).sum(0), "r": np.bincount(self.far.ravel(), weights=ds.sum(0).ravel(), minlength=2 * CONTEXT),
-                }
-                back, found, _ = _text.distinct(x.ravel())
-                rows = np.zeros((len(found), WIDTH))
-                for c in range(WIDTH):
-                    rows[:, c] = np.bincount(back, weights=de[..., c].ravel(), minlength=len(found))
-                done += 1
-                rate = RATE * (1 - done / (steps + 1)) * np.sqrt(1 - 0.99**done) / (1 - 0.9**done)
-                for name, g in grads.items():
-                    first[name] += 0.1 * (g - first[name])
-                    second[name] += 0.01 * (g * g - second[name])
-                    params[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
-                m1, m2 = first["e"], second["e"]
-                m1[found] += 0.1 * (rows - m1[found])
-                m2[found] += 0.01 * (rows * rows - m2[found])
-                params["e"][found] -= (rate * m1[found] / (np.sqrt(m2[found]) + 1e-8)).astype(np.float32)
-        self.embed = params.pop("e")
-        self.w = params
-        self.tables = None
+                steady.step(seen[order[a : a + BATCH]], target[order[a : a + BATCH]], RATE * (1 - (steady.done + 1) / (steps + 1)))
 
+    vectors = None
     tables, weight = None, 0.5
 
     def logs(self, texts: list[np.ndarray], step: int = 512) -> np.ndarray:
@@ -261,31 +250,143 @@ class Network:
         starts = np.cumsum(size) - size
         return np.add.reduceat(self.logs(ids), starts), np.concatenate(shares), np.array([len(x) for x in sizes])
 
-    def weigh(self, ids, sizes, shares) -> None:
-        """Fits the weight of the corpus shares by a few steps of expectation and maximisation."""
-        word, share, _ = self._by_word(ids, sizes, shares)
+    def weigh(self, odds: np.ndarray, times: np.ndarray) -> None:
+        """Fits the weight of the corpus shares by a few steps of expectation and maximisation. `odds`: log of share over probability."""
         for _ in range(20):
-            a, b = np.log(self.weight) + share, np.log1p(-self.weight) + word
-            self.weight = float(np.clip(np.exp(a - np.logaddexp(a, b)).mean(), 0.02, 0.9))
+            own = 1 / (1 + np.exp(-(np.log(self.weight) - np.log1p(-self.weight) + odds)))
+            self.weight = float(np.clip((own * times).sum() / times.sum(), 0.02, 0.9))
+
+    def dense(self) -> np.ndarray:
+        """All weights but the embeddings as rows of WIDTH."""
+        flat = np.concatenate([self.w[k].ravel() for k in sorted(self.w)]).astype(float)
+        return np.append(flat, np.zeros(-len(flat) % WIDTH)).reshape(-1, WIDTH)
+
+    def move(self, change: np.ndarray) -> None:
+        """Adds a change of the embeddings, and after them of the rows of `dense`."""
+        self.embed = (self.embed + change[: self.size]).astype(np.float32)
+        flat, at = (self.dense() + change[self.size :]).ravel(), 0
+        for k in sorted(self.w):
+            n = self.w[k].size
+            self.w[k] = flat[at : at + n].reshape(self.w[k].shape).astype(np.float32)
+            at += n
+        self.tables = None
+
+
+class Steps:
+    """Adam on a network; the embeddings of the ids of a step only."""
+
+    def __init__(self, net: Network):
+        self.net, self.done = net, 0
+        net.tables = None
+        self.first, self.second = ({k: np.zeros_like(p) for k, p in {"e": net.embed, **net.w}.items()} for _ in range(2))
+        self.seen = np.zeros(net.size, np.int64)
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
+        """One step on blocks; the log probabilities of the targets before it."""
+        net, w, n = self.net, self.net.w, CONTEXT - 1
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        e = net.embed[x]
+        eq = np.ascontiguousarray(e[:, n:])
+        flat = lambda t: t.reshape(-1, t.shape[-1])
+        by = lambda t, m: (flat(t) @ m).reshape(*t.shape[:-1], m.shape[1])
+        q, k, v, u = by(eq, w["q"] * scale), by(e, w["k"]), by(e, w["v"]), by(eq, w["u"])
+        s = q @ k.transpose(0, 2, 1)
+        s += (w["r"][net.far] + net.mask).astype(np.float32)
+        pad = x == PAD
+        if pad.any():
+            s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
+        s -= s.max(axis=2, keepdims=True)
+        p = np.exp(s, out=s)
+        p /= p.sum(axis=2, keepdims=True)
+        z = p @ v
+        z += u
+        np.tanh(z, out=z)
+        d = flat(z) @ w["c"]
+        d += w["b"]
+        d -= d.max(axis=1, keepdims=True)
+        kind, at = net.kind[y.ravel()], np.arange(y.size)
+        hit = d[at, kind]
+        np.exp(d, out=d)
+        total = d.sum(axis=1)
+        real = (y != PAD).ravel()
+        d *= (real / (total * max(1, real.sum()))).astype(np.float32)[:, None]
+        d[at, kind] -= (real / max(1, real.sum())).astype(np.float32)
+        dz = (d @ w["c"].T).reshape(z.shape) * (1 - z * z)
+        dp, dv = dz @ v.transpose(0, 2, 1), p.transpose(0, 2, 1) @ dz
+        dp -= (dp * p).sum(axis=2, keepdims=True)
+        ds = np.multiply(dp, p, out=dp)
+        dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q
+        de = by(dk, w["k"].T) + by(dv, w["v"].T)
+        de[:, n:] += by(dq, w["q"].T) + by(dz, w["u"].T)
+        grads = {
+            "q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "u": flat(eq).T @ flat(dz),
+            "c": flat(z).T @ d, "b": d.sum(0), "r": np.bincount(net.far.ravel(), weights=ds.sum(0).ravel(), minlength=2 * CONTEXT),
+        }
+        back, found, _ = _text.distinct(x.ravel())
+        rows = np.empty((len(found), WIDTH), np.float32)
+        de = flat(de)
+        for c in range(WIDTH):
+            rows[:, c] = np.bincount(back, weights=de[:, c], minlength=len(found))
+        self.seen[found] += np.bincount(back)
+        self.done += 1
+        rate *= np.sqrt(1 - 0.99**self.done) / (1 - 0.9**self.done)
+        for name, g in grads.items():
+            self.first[name] += 0.1 * (g - self.first[name])
+            self.second[name] += 0.01 * (g * g - self.second[name])
+            w[name] -= (rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
+        m1, m2 = self.first["e"][found], self.second["e"][found]
+        m1 += np.float32(0.1) * (rows - m1)
+        m2 += np.float32(0.01) * (rows * rows - m2)
+        self.first["e"][found], self.second["e"][found] = m1, m2
+        net.embed[found] -= np.float32(rate) * m1 / (np.sqrt(m2) + np.float32(1e-8))
+        return hit - np.log(total) + net.share[y.ravel()]
 
 
 def _texts(batch, column: int = 1) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def _counts(docs: DataFrame, path: str) -> DataFrame:
-    """kind 0: word hash and count; kind 1: id and count; one row for each task and word or id, before they are summed up."""
+def _groups(texts: list[str], limit: int = 400_000):
+    """Places of texts that follow one another, of about `limit` code points together."""
+    some, size = [], 0
+    for i, x in enumerate(texts):
+        some.append(i)
+        size += len(x)
+        if size >= limit:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
-    def run(batches):
-        known, size = _words_table(path)
-        ids = np.zeros(size, np.int64)
-        names = ["kind", "key", "n"]
 
-        def rows(kind, key, n):
-            for a in range(0, len(key), 200_000):
-                k = key[a : a + 200_000].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 200_000].astype(np.int64))], names)
+PARTS = "kind int, key long, n long, v array<long>"
+
 
+def _part(kind: int, key: np.ndarray, n: np.ndarray, v: np.ndarray | None = None):
+    """Arrow batches of PARTS; `v`: a row of WIDTH whole numbers for each key."""
+    for a in range(0, len(key), 200_000):
+        k = key[a : a + 200_000].astype(np.int64)
+        cuts = pa.array(np.arange(len(k) + 1, dtype=np.int32) * WIDTH)
+        more = pa.nulls(len(k), pa.list_(pa.int64())) if v is None else pa.ListArray.from_arrays(cuts, pa.array(v[a : a + 200_000].ravel().astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[a : a + 200_000].astype(np.int64)), more], ["kind", "key", "n", "v"])
+
+
+def _added(parts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n and of v by key, of the rows of kind 2."""
+    got = parts.filter("kind = 2").groupBy("key").agg(F.sum("n"), *(F.sum(F.col("v")[c]) for c in range(WIDTH))).toPandas().to_numpy(np.int64)
+    n, v = np.zeros(size, np.int64), np.zeros((size, WIDTH))
+    n[got[:, 0]], v[got[:, 0]] = got[:, 1], got[:, 2:]
+    return n, v
+
+
+def _counts(docs: DataFrame, path: str) -> DataFrame:
+    """kind 0: word hash and count; 1: id and count; 2: id and the sums around it; one row for each task and key, before they are summed up."""
+
+    def run(batches):
+        _, size = _words_table(path)
+        net = Network(size)
+        net.vectors = net.index()
+        ids, around = np.zeros(size, np.int64), np.zeros((size, WIDTH))
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size_held = 0
 
@@ -294,27 +395,24 @@ def _counts(docs: DataFrame, path: str) -> DataFrame:
             return found, np.bincount(back, weights=np.concatenate([n for _, n in held]))
 
         for batch in batches:
-            ids[END] += batch.num_rows
-            for _, parts in _text.chunks(_texts(batch)):
-                joined, start, end, hashes, _ = _spans(parts)
-                if not len(start):
-                    continue
-                back, found, first = _text.distinct(hashes)
-                n = np.bincount(back)
-                slot = _slots(known, joined, start, end, found, first)
-                got, ends = _text.gather(known.pool, known.offset[slot], known.length[slot])
-                ids += np.bincount(got, weights=np.repeat(n, np.diff(ends)), minlength=size).astype(np.int64)
-                held.append((found, n))
+            texts = _texts(batch)
+            for some in _groups(texts):
+                got, words, _ = _ids_of([texts[i] for i in some], path)
+                ids += np.bincount(np.concatenate(got), minlength=size)
+                around += net.around(got)
+                back, found, _ = _text.distinct(np.concatenate(words))
+                held.append((found, np.bincount(back, minlength=len(found))))
                 size_held += len(found)
                 if size_held > 3_000_000:
-                    yield from rows(0, *full())
+                    yield from _part(0, *full())
                     held, size_held = [], 0
         if held:
-            yield from rows(0, *full())
+            yield from _part(0, *full())
         some = np.flatnonzero(ids)
-        yield from rows(1, some, ids[some])
+        yield from _part(1, some, ids[some])
+        yield from _part(2, some, ids[some], around[some])
 
-    return docs.mapInArrow(run, "kind int, key long, n long")
+    return docs.mapInArrow(run, PARTS)
 
 
 class Shares:
@@ -357,30 +455,80 @@ def _ids_of(texts: list[str], path: str):
     return [x[0].astype(np.int64) for x in made], [x[1] for x in made], [x[2] for x in made]
 
 
-def fit(docs: DataFrame, counts: DataFrame, shares: Shares, path: str, id_col: str = "id") -> Network:
-    """The network of a bounded number of training texts, with the shares of the whole corpus."""
+def _start(docs: DataFrame, total: int, id_col: str) -> list[str]:
+    """About ROWS of `total` texts, drawn and ordered by hashes of their ids; of a long text a window at a place drawn by hash."""
+    near = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < int(min(1.0, ROWS / max(1, total)) * (1 << 20)) + 1)
+    window = F.expr(f"substring(text, 1 + cast(pmod(xxhash64({id_col}, 5), greatest(length(text) - {CHARS}, 0) + 1) as int), {CHARS})")
+    got = near.select(F.xxhash64(F.col(id_col), F.lit(4)).alias("at"), F.col(id_col), F.coalesce(window, F.lit("")).alias("text"))
+    return got.orderBy("at", id_col, "text").limit(2 * ROWS).toPandas().drop_duplicates("text")["text"].tolist()
+
+
+def _pass(docs: DataFrame, net, common, path: str) -> DataFrame:
+    """One pass of each task over all its texts from the given network. kind 2: id (then row of `dense`), its times and its change times these;
+    3: log odds of corpus share over the network's probability in steps, and how many words; 4: hash of a word that is not shared, and its log probability in steps."""
+
+    def run(batches):
+        own, shares, start = copy.deepcopy(net.value), common.value, net.value
+        steady, draw = Steps(own), np.random.default_rng(SEED)
+        odds = np.zeros(2 * int(FAR / STEP) + 1, np.int64)
+        trained = 0
+        for batch in batches:
+            texts = _texts(batch)
+            for some in _groups(texts):
+                ids, words, sizes = _ids_of([texts[i] for i in some], path)
+                seen, target, _ = own.blocks(ids)
+                logs = np.empty(target.shape)
+                order = draw.permutation(len(seen))
+                for a in range(0, len(order), PASS_BATCH):
+                    at = order[a : a + PASS_BATCH]
+                    logs[at] = steady.step(seen[at], target[at], PASS_RATE / (1 + steady.done / HALF) ** 0.5).reshape(len(at), CONTEXT)
+                size = np.concatenate(sizes)
+                trained += int(size.sum())
+                word = np.add.reduceat(logs[target != PAD], np.cumsum(size) - size)
+                share = np.concatenate([shares.logs(shares.of(w)) for w in words])
+                known = np.isfinite(share)
+                odds += np.bincount(_steps(share[known] - word[known]) + len(odds) // 2, minlength=len(odds))
+                if not known.all():
+                    hashes = np.concatenate([np.append(w, np.uint64(0)) for w in words])[~known]
+                    yield from _part(4, hashes.view(np.int64), np.rint(word[~known] / STEP))
+        some = np.flatnonzero(steady.seen)
+        yield from _part(2, some, steady.seen[some], np.rint((own.embed[some] - start.embed[some]).astype(float) * steady.seen[some, None] * UNIT))
+        change = own.dense() - start.dense()
+        yield from _part(2, own.size + np.arange(len(change)), np.full(len(change), trained), np.rint(change * trained * UNIT))
+        some = np.flatnonzero(odds)
+        yield from _part(3, some - len(odds) // 2, odds[some])
+
+    return docs.mapInArrow(run, PARTS)
+
+
+def _steps(odds: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(odds, -FAR, FAR) / STEP).astype(np.int64)
+
+
+def fit(docs: DataFrame, counts: DataFrame, around: np.ndarray, shares: Shares, common, scratch: Scratch, path: str, id_col: str = "id") -> Network:
+    """The network of all training texts, with the shares of the whole corpus."""
     _, size = _words_table(path)
     every = np.zeros(size, np.int64)
     for i, n in counts.filter("kind = 1").select("key", "n").collect():
         every[i] = n
     net = Network(size)
-    total = int(every[END])
-    share = min(1.0, ROWS / max(1, total))
-    near = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    got = near.filter(F.length("text") <= CHARS).limit(2 * ROWS).toPandas().sort_values([id_col, "text"]).drop_duplicates("text")
-    ids, words, sizes = _ids_of(got["text"].fillna("").tolist(), path)
-    some = int(np.searchsorted(np.cumsum([len(x) for x in ids]), TOKENS))
-    ids, words, sizes = ids[:some], words[:some], sizes[:some]
-    if ids:
-        net.classes(every, ids)
-        net.train(ids)
+    if not every[END]:
+        net.shares(every)
+        return net
+    net.group(every, around)
     net.shares(every)
-    if ids:
-        own = np.unique(np.concatenate(words))
-        rare = docs.sparkSession.createDataFrame(pd.DataFrame({"key": own[shares.of(own) == 0].view(np.int64)}), "key long")
-        rare = counts.filter("kind = 0").join(F.broadcast(rare), "key").select("key", "n").toPandas()
-        less = Shares(rare["key"].to_numpy(np.int64).view(np.uint64), rare["n"].to_numpy(), shares.ends, shares.total)
-        net.weigh(ids, sizes, [shares.logs(shares.of(w) + less.of(w)) for w in words])
+    ids = _ids_of(_start(docs, int(every[END]), id_col), path)[0]
+    some = int(np.searchsorted(np.cumsum([len(x) for x in ids]), TOKENS))
+    net.train(ids[: max(1, some)])
+    parts = scratch.put(_pass(docs, docs.sparkSession.sparkContext.broadcast(net), common, path), "pass")
+    n, v = _added(parts, size + len(net.dense()))
+    net.move(v / UNIT / np.maximum(1, n)[:, None])
+    rare = parts.filter("kind = 4").select("key", F.col("n").alias("_p")).join(counts.filter("kind = 0").select("key", "n"), "key")
+    odds = F.ln(F.col("n") / shares.total) - F.col("_p") * STEP
+    rare = rare.select(F.rint(F.greatest(F.least(odds, F.lit(FAR)), F.lit(-FAR)) / STEP).cast("long").alias("key"), F.lit(1).cast("long").alias("n"))
+    seen = parts.filter("kind = 3").select("key", "n").unionByName(rare).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toPandas()
+    net.weigh(seen["key"].to_numpy(float) * STEP, seen["n"].to_numpy(float))
+    scratch.drop(parts)
     return net
 
 
@@ -392,7 +540,10 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     train = docs.filter(crc_mod("id", FOLDS) != 2)
-    counts = scratch.put(_counts(train, path).groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    parts = scratch.put(_counts(train, path), "parts")
+    counts = scratch.put(parts.filter("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    around = _added(parts, _words_table(path)[1])[1]
+    scratch.drop(parts)
     ends = counts.filter(f"kind = 1 and key = {END}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words, distinct = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = words + ends, distinct + (1 if ends else 0)
@@ -405,7 +556,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     top = counts.filter(f"kind = 0 and n >= {least}").select("key", "n").toPandas()
     shares = Shares(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(), ends, total)
     common = spark.sparkContext.broadcast(shares)
-    fitted = fit(train, counts, shares, path)
+    fitted = fit(train, counts, around, shares, common, scratch, path)
     net = spark.sparkContext.broadcast(fitted)
     end_log = float(np.log10(ends + 1))
 
@@ -417,13 +568,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         for batch in batches:
             texts, held = _texts(batch), crc_fold(batch.column(0).to_pylist(), FOLDS)
             rest[1] = batch.column(0).type
-            size = 0
-            some: list[int] = []
-            for i, x in enumerate(texts):
-                some.append(i)
-                size += len(x)
-                if size < 400_000 and i + 1 < len(texts):
-                    continue
+            for some in _groups(texts):
                 ids, words, sizes = _ids_of([texts[j] for j in some], path)
                 counted = [shares.of(w) for w in words]
                 score, logs = net.value.score(ids, sizes, [shares.logs(c) for c in counted])
@@ -452,7 +597,6 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(owner), *(pa.nulls(len(word), t) for t in rest[1:-2]), pa.array(word), each], names)
                 row += len(some)
-                some, size = [], 0
 
     schema = f"row long, id {kind}, held_out boolean, tokens long, known long, logs double, score double, word long, each array<double>"
     made = scratch.put(docs.mapInArrow(run, schema), "scores")

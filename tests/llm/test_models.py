@@ -125,6 +125,30 @@ def test_lm_scores_do_not_depend_on_what_is_shared(spark, monkeypatch):
     assert made[1] == pytest.approx(made[0], rel=1e-9) and made[2] == pytest.approx(made[0], rel=1e-9)
 
 
+def test_lm_learns_from_long_texts_and_late_ids(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TOKENS", 2000)
+    draw = np.random.default_rng(5)
+    cycle = ["red", "door", "blue", "house", "green", "tree"]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, " ".join(draw.choice(["a", "the", "of", "and"], 40))) for i in train[:300]]
+    rows += [(i, " ".join(cycle * 2000)) for i in train[-40:]]
+    rows += [(held[0], " ".join(cycle * 20)), *((i, " ".join(draw.permutation(cycle * 20))) for i in held[1:6])]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path(byte_bpe.RANKS)).collect()}
+    assert got[held[0]] > max(got[i] for i in held[1:6]) + 0.1
+
+
+def test_lm_sums_around_ids_do_not_depend_on_their_parts():
+    net, draw = lm_score.Network(50), np.random.default_rng(1)
+    texts = [draw.integers(3, 50, n) for n in (1, 2, 3, 4, 200)]
+    brute, index = np.zeros((50, lm_score.WIDTH)), net.index().astype(float)
+    for x in texts:
+        for i in range(len(x)):
+            for j in range(max(0, i - 3), min(len(x), i + 4)):
+                brute[x[i]] += index[x[j]] * (i != j)
+    assert (net.around(texts) == brute).all() and (sum(net.around([x]) for x in texts) == brute).all()
+
+
 def test_lm_scores_every_id_once():
     net = lm_score.Network(60)
     draw = np.random.default_rng(0)
