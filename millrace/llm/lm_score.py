@@ -45,7 +45,7 @@ from millrace.llm._train import crc_fold
 FOLDS = 7
 ROWS, CHARS = 2500, 20_000
 TOP = 1 << 18
-CONTEXT, WIDTH, SINGLE, CLUSTERS = 16, 16, 32, 32
+CONTEXT, WIDTH, SINGLE, CLUSTERS = 16, 16, 96, 64
 EPOCHS, BATCH, RATE, SEED, TOKENS = 2, 128, 1e-2, 11, 500_000
 END, BOS, PAD = 0, 1, 2
 _OTHERS = 3
@@ -147,14 +147,16 @@ class Network:
         self.embed = (around + 0.05 * index).astype(np.float32)
         order = np.argsort(-counts, kind="stable")
         rest = order[SINGLE:]
+        self.kind = np.empty(self.size, np.int64)
+        self.kind[order[:SINGLE]] = np.arange(min(SINGLE, self.size))
+        if not len(rest):
+            return
         centre = around[rest[:CLUSTERS]]
         for _ in range(12):
             near = (around[rest] @ centre.T).argmax(axis=1)
             total = np.zeros_like(centre)
             np.add.at(total, near, around[rest] * np.log1p(counts[rest])[:, None])
             centre = np.where(np.abs(total).sum(1, keepdims=True) > 0, total / (np.linalg.norm(total, axis=1, keepdims=True) + 1e-9), centre)
-        self.kind = np.empty(self.size, np.int64)
-        self.kind[order[:SINGLE]] = np.arange(min(SINGLE, self.size))
         self.kind[rest] = SINGLE + near
 
     def shares(self, counts: np.ndarray) -> None:

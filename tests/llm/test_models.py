@@ -149,6 +149,12 @@ def test_lm_sums_around_ids_do_not_depend_on_their_parts():
     assert (net.around(texts) == brute).all() and (sum(net.around([x]) for x in texts) == brute).all()
 
 
+def test_lm_classes():
+    net, draw = lm_score.Network(400), np.random.default_rng(3)
+    net.group(np.arange(400, 0, -1), draw.normal(0, 1, (400, lm_score.WIDTH)))
+    assert len(set(net.kind[:96])) == 96 and not set(net.kind[:96]) & set(net.kind[96:]) and len(set(net.kind)) == 160
+
+
 def test_lm_scores_every_id_once():
     net = lm_score.Network(60)
     draw = np.random.default_rng(0)
