@@ -245,13 +245,13 @@ class PieceTable:
         return ids, at[np.searchsorted(starts, bounds)]
 
 
-def encode_texts(table: PieceTable, whole: Callable[[str], list[int]], texts: list[str]) -> Iterator[np.ndarray]:
-    """Ids of each text in turn. `whole` encodes the texts that hold code points of class ODD."""
+def encode_texts(table: PieceTable, whole: Callable[[str], list[int]], texts: list[str], apart: tuple[str, ...] = ()) -> Iterator[np.ndarray]:
+    """Ids of each text in turn. `whole` encodes the texts that hold code points of class ODD or a string of `apart`."""
     odd = classes() == ODD
     held: list[np.ndarray] = []
     last = -1
     for at, parts in chunks(texts):
-        strange = [not x.isascii() and bool(odd[np.frombuffer(x.encode("utf-32-le"), np.uint32)].any()) for x in parts]
+        strange = [any(a in x for a in apart) or not x.isascii() and bool(odd[np.frombuffer(x.encode("utf-32-le"), np.uint32)].any()) for x in parts]
         ids, bounds = table.ids([("" if s else x) for s, x in zip(strange, parts, strict=True)])
         for k, i in enumerate(at):
             got = np.array(whole(parts[k]), np.uint32) if strange[k] else ids[bounds[k] : bounds[k + 1]]

@@ -139,27 +139,32 @@ class Block:
 
 
 @lru_cache(2)
-def _engine(path: str):
+def _engine(path: str, added: bool):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not added
+    apart = tuple(a.content for a in t.get_added_tokens_decoder().values()) if added else ()
     many = lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)]
-    return PieceTable(many), lambda x: t.encode(x, add_special_tokens=False).ids
+    return PieceTable(many), lambda x: t.encode(x, add_special_tokens=False).ids, apart
 
 
-def encode(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text; the library encodes every distinct piece of the vocabulary's own split once."""
-    return encode_texts(*_engine(path), texts)
+def encode(texts: list[str], path: str, added: bool = False) -> Iterator[np.ndarray]:
+    """Ids of each text; the library encodes every distinct piece of the vocabulary's own split once.
+
+    `added`: an added token's content within a text is that token, as the library does when loaded; else it is text like any other.
+    """
+    table, whole, apart = _engine(path, added)
+    return encode_texts(table, whole, texts, apart)
 
 
 def write_tokens(
-    docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0
+    docs: DataFrame, vocabulary: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, added: bool = False
 ) -> None:
-    """Writes the documents' ids as blocks under `out`, in ascending order of `id_col` by (shard, block)."""
+    """Writes the documents' ids as blocks under `out`, in ascending order of `id_col` by (shard, block). `added`: see `encode`."""
     importable(docs.sparkSession)
 
     def run(batches):
@@ -174,7 +179,7 @@ def write_tokens(
 
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for key, ids in zip(own, encode([x or "" for x in batch.column(1).to_pylist()], vocabulary), strict=True):
+            for key, ids in zip(own, encode([x or "" for x in batch.column(1).to_pylist()], vocabulary, added), strict=True):
                 if keys and key != keys[-1] and (size >= BLOCK_IDS or len(keys) >= BLOCK_KEYS):
                     yield full()
                     number += 1
@@ -245,5 +250,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = Scratch(spark).path("token-blocks")
-    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), out)
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), out, added=True)
     return read_documents(spark, out)

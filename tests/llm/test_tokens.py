@@ -114,6 +114,16 @@ def test_token_files_round_trip(spark, library, tmp_path):
     assert token_files.get(spark, out, 10**6) == []
 
 
+def test_token_files_query_equals_the_library_as_loaded(spark, tmp_path):
+    texts = ["one two " * 150_000 + "<|endoftext|> three", *ODD, "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a <|endoftext| > b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    loaded = Tokenizer.from_file(VOCABULARY)
+    made = {r.doc_id: r for r in token_files.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ids = [*loaded.encode(t, add_special_tokens=False).ids, 0]
+        assert (made[i].n_tokens, made[i].ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), repr(t[:40])
+
+
 def test_small_blocks_keep_documents_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_KEYS", 2)
     keys = list(range(9))
