@@ -162,7 +162,7 @@ def _learn_terms(docs: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
         for w in words:
             if len(w) >= SHORTEST:
                 found.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
-                found.add(f" {w} ")
+            found.add(f" {w} ")
         return found
 
     counts = (Counter(), Counter())
@@ -198,7 +198,7 @@ def _learn_phrases(docs: list[list[str]], toxic: np.ndarray, terms: dict[str, fl
     for words, label in zip(docs, toxic, strict=True):
         found = set()
         for i, w in enumerate(words):
-            if any(f" {w} "[:k] in terms for k in range(SHORTEST + 1, len(w) + 3)):
+            if any(f" {w} "[:k] in terms for k in range(min(SHORTEST, len(w) + 1) + 1, len(w) + 3)):
                 found.update(f" {' '.join(words[j : j + 2])} " for j in (i - 1, i) if j >= 0 and j + 2 <= len(words))
         pairs[int(label)].update(found)
     return sorted(p for p, n in pairs[0].items() if n >= HARMLESS and n > 2 * pairs[1][p])

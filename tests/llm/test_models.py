@@ -67,6 +67,15 @@ def test_toxicity_exceptions(toxic):
     assert toxic.score(["a vileword museum c"])[0] < toxicity.THRESHOLD
 
 
+def test_toxicity_learns_short_words_whole():
+    fair = [f"a zug museum {'abcdefghij'[i % 10]}" for i in range(6)]
+    bad = [f"you {w} {'abcdefghij'[i % 10]} by the river" for w in ("zug", "坏人", "坏") for i in range(60)]
+    model = toxicity.fit(CLEAN + fair + bad, np.array([0] * 246 + [1] * 180), {0: 246, 1: 180})
+    score = model.score(["what zug", "what 坏人", "what 坏", "what zugabe", "what 坏人们", "a zug museum c"])
+    assert {" zug ", " 坏人 ", " 坏 "} <= set(model.terms) and " zug museum " in model.phrases
+    assert (score[:3] >= toxicity.THRESHOLD).all() and (score[3:] < toxicity.THRESHOLD).all()
+
+
 def test_toxicity_of_one_label_only():
     assert toxicity.fit(["a"], np.array([0]), {0: 1}).score(["b"]).tolist() == [0.0]
 
