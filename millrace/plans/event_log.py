@@ -64,10 +64,13 @@ def counts(log: DataFrame) -> DataFrame:
     return log.groupBy("kind", "layer", "schema", "reason").agg(F.count("*").alias("events"))
 
 
-def cells(df: DataFrame, id_col: str, columns: int, rows: int, start: int = 0) -> DataFrame:
-    """Ids on a grid of `columns` by `rows` from `start`: cell_x, cell_y and how many; ids outside are left out."""
+def cells(df: DataFrame, id_col: str, columns: int, rows: int | None = None, start: int = 0) -> DataFrame:
+    """Ids on a grid of `columns` by `rows` from `start`: cell_x, cell_y and how many; ids outside are left out.
+
+    Without `rows` the grid has as many rows as the ids need, so only ids before `start` are left out.
+    """
     at = F.col(id_col) - start
-    inside = df.filter((at >= 0) & (at < columns * rows))
+    inside = df.filter(at >= 0 if rows is None else (at >= 0) & (at < columns * rows))
     return inside.groupBy((at % columns).cast("long").alias("cell_x"), F.floor(at / columns).cast("long").alias("cell_y")).agg(F.count("*").alias("n"))
 
 

@@ -358,3 +358,12 @@ def test_clamp(spark):
 
     r = spark.range(1).select(clamp(F.lit(7.0), 1, 5).alias("a"), clamp01(F.lit(-1.0)).alias("b")).first()
     assert (r.a, r.b) == (5.0, 0.0)
+
+
+def test_cells_without_rows_follow_the_largest_id(spark):
+    from millrace.plans.event_log import cells
+
+    ids = spark.range(1, 15001).withColumnRenamed("id", "k")
+    made = cells(ids, "k", 100, start=1)
+    assert made.agg(F.sum("n"), F.max("cell_y")).first()[:] == (15000, 149)
+    assert cells(ids, "k", 100, 100, 1).agg(F.sum("n")).first()[0] == 10000
