@@ -188,41 +188,113 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return back, found, first
 
 
+class Index:
+    """Numbers of distinct 64-bit hashes: open addressing in arrays, looked up many at a time."""
+
+    def __init__(self, bits: int = 14):
+        self.n = 0
+        self._room(bits)
+
+    def _room(self, bits: int) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is not there."""
+        at = hashes & self.mask
+        out = self.values[at]
+        open_ = np.flatnonzero((self.keys[at] != hashes) & (out >= 0))
+        while len(open_):
+            at = (at[open_] if len(at) > len(open_) else at) + np.uint64(1) & self.mask
+            got = self.values[at]
+            out[open_] = got
+            more = (self.keys[at] != hashes[open_]) & (got >= 0)
+            at, open_ = at[more], open_[more]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Gives the next numbers to hashes that are distinct and not there yet."""
+        base, self.n = self.n, self.n + len(hashes)
+        if 2 * self.n > len(self.keys):
+            kept = np.flatnonzero(self.values >= 0)
+            keys, values = self.keys[kept], self.values[kept]
+            self._room(int(2 * self.n).bit_length() + 1)
+            self._put(keys, values)
+        self._put(hashes, np.arange(base, self.n, dtype=np.int32))
+
+    def _put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        at = hashes & self.mask
+        while len(hashes):
+            free = self.values[at] < 0
+            self.values[at[free]] = values[free]
+            mine = free & (self.values[at] == values)
+            self.keys[at[mine]] = hashes[mine]
+            at, hashes, values = at[~mine] + np.uint64(1) & self.mask, hashes[~mine], values[~mine]
+
+
 class PieceTable:
-    """Ids of pieces met so far, by the piece's hash; forgotten as a whole beyond `limit` pieces."""
+    """Ids of pieces met so far, by the piece's hash. Beyond `limit` pieces a new table is begun, into which those of the last one move as they are met again."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
         self.encode, self.limit = encode, limit
+        self.last: PieceTable | None = None
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.index = Index()
         self.used = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.offset = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
-        made = self.encode(pieces)
-        base = len(self.slots)
-        need = base + len(made)
+    def _renew(self) -> None:
+        self.last = PieceTable(self.encode, self.limit)
+        for name in ("index", "used", "pool", "offset", "length"):
+            setattr(self.last, name, getattr(self, name))
+        self.clear()
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        base, need, total = len(self.index), len(self.index) + len(hashes), len(ids)
         if need > len(self.offset):
             for name in ("offset", "length"):
                 old = getattr(self, name)
                 new = np.zeros(max(need, 2 * len(old)), np.int64)
                 new[: len(old)] = old
                 setattr(self, name, new)
-        lengths = np.array([len(x) for x in made], np.int64)
-        total = int(lengths.sum())
         if self.used + total > len(self.pool):
             new = np.zeros(max(self.used + total, 2 * len(self.pool)), np.uint32)
             new[: self.used] = self.pool[: self.used]
             self.pool = new
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in made for i in x), np.uint32, total)
+        self.pool[self.used : self.used + total] = ids
         self.length[base:need] = lengths
         self.offset[base:need] = self.used + np.cumsum(lengths) - lengths
         self.used += total
-        self.slots.update(zip(hashes, range(base, need), strict=True))
+        self.index.add(hashes)
+
+    def slots(self, hashes: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places in `offset` and `length` of distinct pieces, which are spans of `joined`."""
+        if len(self.index) + len(hashes) > self.limit and len(self.index):
+            self._renew()
+        found = self.index.find(hashes)
+        for known in (True, False):
+            new = np.flatnonzero(found < 0)
+            if not len(new):
+                break
+            if known:
+                at = np.zeros(0, np.int64) if self.last is None else self.last.index.find(hashes[new])
+                new, at = new[: len(at)][at >= 0], at[at >= 0]
+                if len(new):
+                    lengths = self.last.length[at]
+                    self._add(hashes[new], gather(self.last.pool, self.last.offset[at], lengths)[0], lengths)
+            else:
+                made = self.encode([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+                lengths = np.array([len(x) for x in made], np.int64)
+                self._add(hashes[new], np.fromiter((i for x in made for i in x), np.uint32, int(lengths.sum())), lengths)
+            found = self.index.find(hashes)
+        return found
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text's begin (one more than texts)."""
@@ -232,15 +304,7 @@ class PieceTable:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(codes))
         back, hashes, first = distinct(Spans(codes).of(starts, ends))
-        if len(self.slots) + len(hashes) > self.limit:
-            self.clear()
-        keys = hashes.tolist()
-        slot = [self.slots.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slot) if s < 0]
-        if new:
-            self._add([keys[i] for i in new], [joined[starts[first[i]] : ends[first[i]]] for i in new])
-            slot = [self.slots[k] for k in keys]
-        slots = np.array(slot, np.int64)[back]
+        slots = self.slots(hashes, joined, starts[first], ends[first])[back]
         ids, at = gather(self.pool, self.offset[slots], self.length[slots])
         return ids, at[np.searchsorted(starts, bounds)]
 
@@ -278,28 +342,28 @@ class Rows:
     """Vectors of things met so far, by hash; forgotten as a whole beyond `limit`, except those known at first."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray, limit: int = 400_000):
-        self.known, self.base, self.limit = dict(zip(hashes.tolist(), range(len(hashes)), strict=True)), values, limit
+        self.known, self.base, self.limit = hashes.astype(np.uint64), values, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slots = dict(self.known)
+        self.index = Index()
+        self.index.add(self.known)
         self.values = np.zeros((max(1 << 14, 2 * len(self.base)), self.base.shape[1]), np.float32)
         self.values[: len(self.base)] = self.base
 
     def of(self, hashes: np.ndarray, make) -> np.ndarray:
-        """Row numbers in `values`; make(places among `hashes`) gives the rows of those not met before."""
-        if len(self.slots) > len(self.known) + self.limit:
+        """Row numbers in `values` of distinct hashes; make(places among `hashes`) gives the rows of those not met before."""
+        if len(self.index) > len(self.known) + self.limit:
             self.clear()
-        keys = hashes.tolist()
-        got = [self.slots.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(got) if s < 0]
-        if new:
-            base = len(self.slots)
+        got = self.index.find(hashes)
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            base = len(self.index)
             if base + len(new) > len(self.values):
                 wider = np.zeros((2 * (base + len(new)), self.values.shape[1]), np.float32)
                 wider[: len(self.values)] = self.values
                 self.values = wider
-            self.values[base : base + len(new)] = make(np.array(new, np.int64))
-            for j, i in enumerate(new):
-                self.slots[keys[i]] = got[i] = base + j
-        return np.array(got, np.int64)
+            self.values[base : base + len(new)] = make(new)
+            self.index.add(hashes[new])
+            got[new] = np.arange(base, base + len(new))
+        return got

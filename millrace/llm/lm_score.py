@@ -70,7 +70,7 @@ def _words_table(path: str):
         made = (pattern.findall(" " + w.encode().lower().decode()) for w in words)
         return [[i + _OTHERS for x in pieces for i in merges.encode(x.encode())] for pieces in made]
 
-    return _text.PieceTable(encode, 600_000), max(merges.tokens) + 1 + _OTHERS
+    return _text.PieceTable(encode), max(merges.tokens) + 1 + _OTHERS
 
 
 def _spans(parts: list[str]):
@@ -83,17 +83,6 @@ def _spans(parts: list[str]):
     return joined, start, end, hashes, np.searchsorted(start, bounds)
 
 
-def _slots(known: _text.PieceTable, joined, start, end, found, first) -> np.ndarray:
-    """Places of the distinct words in the table."""
-    if len(known.slots) + len(found) > known.limit:
-        known.clear()
-    keys = found.tolist()
-    new = [i for i, k in enumerate(keys) if k not in known.slots]
-    if new:
-        known._add([keys[i] for i in new], [joined[start[first[i]] : end[first[i]]] for i in new])
-    return np.array([known.slots[k] for k in keys], np.int64)
-
-
 class Network:
     """Weights of the attention model and the tables made from them."""
 
@@ -446,7 +435,7 @@ def _ids_of(texts: list[str], path: str):
         if not len(start):
             continue
         back, found, first = _text.distinct(hashes)
-        slot = _slots(known, joined, start, end, found, first)[back]
+        slot = known.slots(found, joined, start[first], end[first])[back]
         length = known.length[slot]
         flat, ends = _text.gather(known.pool, known.offset[slot], length)
         for k, i in enumerate(at):

@@ -87,7 +87,7 @@ def test_perfect_hash_is_minimal_and_refuses_foreign_keys():
     keys = np.unique(draw.integers(-(2**60), 2**60, 5000))
     made = token_files.PerfectHash.build(keys)
     assert sorted(made.slots(keys).tolist()) == list(range(len(keys)))
-    block = token_files.Block(token_files._block(0, 0, keys.tolist(), [np.array([k % 7, 1], np.uint32) for k in range(len(keys))]))
+    block = token_files.Block(token_files._block(0, 0, 0, keys.tolist(), [np.array([k % 7, 1], np.uint32) for k in range(len(keys))]))
     for i in (0, 17, len(keys) - 1):
         assert [x.tolist() for x in block.get(int(keys[i]))] == [[i % 7, 1]]
     assert sum(bool(block.get(int(k))) for k in range(10_000)) <= 1
@@ -127,10 +127,43 @@ def test_token_files_query_equals_the_library_as_loaded(spark, tmp_path):
 def test_small_blocks_keep_documents_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_KEYS", 2)
     keys = list(range(9))
-    made = [token_files._block(0, n, keys[n : n + 2], [np.arange(3, dtype=np.uint32)] * len(keys[n : n + 2])) for n in range(0, 9, 2)]
+    made = [token_files._block(0, n, 3 * n, keys[n : n + 2], [np.arange(3, dtype=np.uint32)] * len(keys[n : n + 2])) for n in range(0, 9, 2)]
     assert [m["n_docs"] for m in made] == [2, 2, 2, 2, 1]
 
 
+def test_a_key_with_many_rows_goes_on_in_other_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_KEYS", 4)
+    rows = [(7, f"text {i}") for i in range(20)] + [(None, "none"), (None, None), (9, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = str(tmp_path / "hot")
+    token_files.write_tokens(df, VOCABULARY, out)
+    blocks = spark.read.parquet(out).select("n_docs").collect()
+    assert sum(r.n_docs for r in blocks) == len(rows) and len(token_files.get(spark, out, 7)) == 20
+    made = sorted(token_files.read_documents(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in made] == [None] * 2 + [7] * 20 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(made, made[1:]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=60), max_size=6))
+def test_index_equals_a_dictionary(groups):
+    made, want = _text.Index(2), {}
+    for group in groups:
+        new = np.array([h for h in group if h not in want], np.uint64)
+        made.add(new)
+        for h in new.tolist():
+            want[h] = len(want)
+        asked = np.array([*want, *(h ^ 1 for h in want)], np.uint64)
+        assert made.find(asked).tolist() == [want.get(int(h), -1) for h in asked]
+
+
+def test_pieces_survive_new_tables():
+    table = _text.PieceTable(lambda xs: [[ord(c) for c in x] for x in xs], limit=3)
+    for text in ["a b c", "d e f", "a b d", "g", "a f g e d c b a" * 3]:
+        ids, _ = table.ids([text])
+        assert "".join(map(chr, ids)) == text
+
+
 def test_token_files_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     token_files.write_tokens(df, VOCABULARY, str(tmp_path / "none"))
