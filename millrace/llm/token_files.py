@@ -4,11 +4,15 @@ Documents are dealt by ranges of their key, sorted, tokenised and written as blo
 one row of a Parquet table (which any store that Spark can write will hold) and stands alone:
 raw little-endian ids of consecutive documents, and an index that maps a key to a slot by a
 minimal perfect hash, with a fingerprint per slot against foreign keys and the slot's offset
-and length in the payload. A block ends at BLOCK_IDS ids or at BLOCK_KEYS keys, but never within
-a document. Rows with the same key follow one another and share a slot.
+and length in the payload. A block ends at BLOCK_IDS ids or at BLOCK_KEYS documents, but never
+within a document, and says how many ids its shard holds before it. Rows with the same key follow
+one another, ordered by a hash of the text; within a block they share a slot, and a key with very
+many rows goes on in the next block or shard.
 
 Looking up a key reads the block whose key range holds it (Parquet statistics skip the others),
-hashes once, compares one fingerprint and slices the payload: constant time in the block.
+hashes once, compares one fingerprint and slices the payload: constant time in the block. To
+read everything, the shards' totals (a row for each task that wrote) are added up on the driver;
+no block is shuffled or joined.
 
 Defined cases: a null text counts as empty and has the end id alone; a null key sorts first;
 repeated keys are read back in the order written, text by text; an empty table writes no block;
@@ -24,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._common import Scratch, importable, table
@@ -36,7 +40,7 @@ BLOCK_KEYS = 20_000
 #: Keys per bucket of the perfect hash.
 BUCKET = 4
 BLOCK = (
-    "shard int, block int, key_min long, key_max long, n_docs long, n_ids long, width int, keys binary, seeds binary, prints binary, "
+    "shard int, block int, key_min long, key_max long, n_docs long, n_ids long, before long, width int, keys binary, seeds binary, prints binary, "
     "first_id binary, first_doc binary, docs_of binary, sizes binary, payload binary"
 )
 
@@ -94,7 +98,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 NULL_KEY = -(1 << 63)
 
 
-def _block(shard: int, number: int, keys: list, ids: list[np.ndarray]) -> dict:
+def _block(shard: int, number: int, before: int, keys: list, ids: list[np.ndarray]) -> dict:
     own = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     distinct = own[first]
@@ -106,7 +110,7 @@ def _block(shard: int, number: int, keys: list, ids: list[np.ndarray]) -> dict:
     flat = np.concatenate(ids)
     width = 2 if not len(flat) or int(flat.max()) < 1 << 16 else 4
     return {
-        "shard": shard, "block": number, "key_min": int(own[0]), "key_max": int(own[-1]), "n_docs": len(keys), "n_ids": len(flat), "width": width,
+        "shard": shard, "block": number, "key_min": int(own[0]), "key_max": int(own[-1]), "n_docs": len(keys), "n_ids": len(flat), "before": before, "width": width,
         "keys": distinct.astype("<i8").tobytes(), "seeds": hashed.seeds.astype("<u4").tobytes(), "prints": put(fingerprints(distinct), "<u4"), "first_id": put(starts[first], "<u8"),
         "first_doc": put(first, "<u4"), "docs_of": put(np.diff(np.append(first, len(own))), "<u4"),
         "sizes": sizes.tobytes(), "payload": flat.astype("<u2" if width == 2 else "<u4").tobytes(),
@@ -126,16 +130,19 @@ class Block:
 
     def get(self, key: int | None) -> list[np.ndarray]:
         """The ids of every document with this key, in the order written; none for a foreign key."""
-        own = np.array([NULL_KEY if key is None else key], np.int64)
-        slot = int(self.hash.slots(own)[0]) if self.hash.n else -1
-        if slot < 0 or self.prints[slot] != fingerprints(own)[0]:
-            return []
-        at, out = int(self.first_id[slot]), []
-        first = int(self.first_doc[slot])
-        for size in self.sizes[first : first + int(self.docs_of[slot])].tolist():
-            out.append(self.ids[at : at + size])
-            at += size
-        return out
+        return [ids for _, ids in self.find(np.array([NULL_KEY if key is None else key], np.int64))]
+
+    def find(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Key and ids of every document with one of the keys, key by key; nothing for foreign ones."""
+        if not self.hash.n:
+            return
+        slot = self.hash.slots(keys)
+        good = self.prints[slot] == fingerprints(keys)
+        keys, slot = keys[good], slot[good]
+        for key, at, first, n in zip(*(x.tolist() for x in (keys, self.first_id[slot], self.first_doc[slot], self.docs_of[slot])), strict=True):
+            for size in self.sizes[first : first + n].tolist():
+                yield key, self.ids[at : at + size]
+                at += size
 
 
 @lru_cache(2)
@@ -171,18 +178,18 @@ def write_tokens(
         shard, number = TaskContext.get().partitionId(), 0
         keys: list = []
         held: list[np.ndarray] = []
-        size = 0
+        before = size = 0
         tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def full():
-            return pa.RecordBatch.from_pylist([_block(shard, number, keys, held)], schema=schema)
+            return pa.RecordBatch.from_pylist([_block(shard, number, before, keys, held)], schema=schema)
 
         for batch in batches:
             own = batch.column(0).to_pylist()
             for key, ids in zip(own, encode([x or "" for x in batch.column(1).to_pylist()], vocabulary, added), strict=True):
-                if keys and key != keys[-1] and (size >= BLOCK_IDS or len(keys) >= BLOCK_KEYS):
+                if size >= BLOCK_IDS or len(keys) >= BLOCK_KEYS:
                     yield full()
-                    number += 1
+                    number, before = number + 1, before + size
                     keys, held, size = [], [], 0
                 keys.append(key)
                 held.append(np.concatenate((ids, tail)))
@@ -193,7 +200,8 @@ def write_tokens(
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in BLOCK.split(", "))])
     rows = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    dealt = rows.repartitionByRange(F.col("_key").asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first())
+    order = [F.col("_key").asc_nulls_first(), F.xxhash64("_text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, BLOCK).write.parquet(out)
 
 
@@ -204,45 +212,34 @@ def get(spark: SparkSession, path: str, key: int | None) -> list[np.ndarray]:
     return [x for r in near.orderBy("shard", "block").collect() for x in Block(r.asDict()).get(key)]
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """shard, block, and `first`: the ids of all blocks before it.
-
-    Totals by shard (one row for each task that wrote) are summed up on the driver; within a
-    shard the sum runs over its blocks.
-    """
-    blocks = spark.read.schema(BLOCK).parquet(path).select("shard", "block", "n_ids")
-    totals = sorted((r[0], r[1]) for r in blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
-    before, rows = 0, []
+def starts(spark: SparkSession, path: str) -> np.ndarray:
+    """The ids of all shards before each shard: one number for each task that wrote."""
+    totals = spark.read.schema(BLOCK).parquet(path).groupBy("shard").agg(F.max(F.col("before") + F.col("n_ids"))).collect()
+    out = np.zeros(max((r[0] for r in totals), default=-1) + 2, np.int64)
     for shard, n in totals:
-        rows.append((shard, before))
-        before += n
-    shards = spark.createDataFrame(rows, "shard int, _before long")
-    within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.withColumn("_in", F.coalesce(within, F.lit(0))).join(shards, "shard").select(
-        "shard", "block", (F.col("_before") + F.col("_in")).alias("first")
-    )
+        out[shard + 1] = n
+    return np.cumsum(out)[:-1]
 
 
 def read_documents(spark: SparkSession, path: str, id_name: str = "doc_id") -> DataFrame:
     """One row per document, looked up by its key: `id_name`, start, n_tokens, ids_crc32."""
     importable(spark)
     names = [id_name, "start", "n_tokens", "ids_crc32"]
+    first = spark.sparkContext.broadcast(starts(spark, path))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-                block = Block(row)
                 keys, size, crc = [], [], []
-                for key in np.frombuffer(row["keys"], "<i8").tolist():
-                    for ids in block.get(key):
-                        keys.append(None if key == NULL_KEY else key)
-                        size.append(len(ids))
-                        crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                at = row["first"] + np.cumsum(size, dtype=np.int64) - size
+                for key, ids in Block(row).find(np.frombuffer(row["keys"], "<i8")):
+                    keys.append(None if key == NULL_KEY else key)
+                    size.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                at = first.value[row["shard"]] + row["before"] + np.cumsum(size, dtype=np.int64) - size
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, at, size, crc)], names)
 
-    blocks = spark.read.schema(BLOCK).parquet(path).join(starts(spark, path), ["shard", "block"])
+    blocks = spark.read.schema(BLOCK).parquet(path)
     return blocks.mapInArrow(run, f"`{id_name}` long, start long, n_tokens long, ids_crc32 long")
 
 
