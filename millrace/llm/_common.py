@@ -82,26 +82,32 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
-#: 2**23 bits are 256 rows of 4 KiB: what a key filter broadcasts never exceeds 1 MiB.
-FILTER_BITS = 1 << 23
+#: Bits of a key filter for each key, and at most (32 MiB); the least is one row of 4 KiB.
+KEY_BITS, MOST_BITS, LEAST_BITS = 16, 1 << 28, 1 << 15
 
 
-def key_filter(keys: DataFrame, *cols: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A bitmap of the hashes of `cols`, as rows (`_bucket`, `_bits`); at most bits/32768 of them."""
-    at = F.pmod(F.xxhash64(*cols), F.lit(bits))
-    return keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")
-    )
-
-
-def mark(df: DataFrame, bitmap: DataFrame, name: str, *cols: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Adds boolean `name`: true for every row whose `cols` are in the filter, and for a few others.
+def mark(df: DataFrame, keys: DataFrame, name: str, *cols: str) -> DataFrame:
+    """Adds boolean `name`: true for every row whose `cols` are among `keys`, and for a few others.
 
-    The broadcast side is the bitmap, whose size is fixed by `bits` and not by the data.
+    `keys` is read twice, so write it first. A bitmap of the keys' hashes is broadcast; its size
+    follows the counted keys up to MOST_BITS, and with more keys than that every row is marked.
     """
+    n = keys.count()
+    if n > MOST_BITS:
+        return df.withColumn(name, F.lit(True))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * n).bit_length()))
     at = F.pmod(F.xxhash64(*cols), F.lit(bits))
+    bitmap = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    byte = lambda i: F.conv(F.hex(F.substr("_bits", i, F.lit(1))), 16, 10).cast("short")
+    bitmap = bitmap.select("_bucket", F.transform(F.sequence(F.lit(1), F.octet_length("_bits")), byte).alias("_bits"))
     bit = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substr("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    test = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) > 0
+    test = F.getbit(F.get("_bits", F.shiftright(bit, 3).cast("int")), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
     joined = df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
     return joined.withColumn(name, F.coalesce(test, F.lit(False))).drop("_bucket", "_bits")
+
+
+def narrowed(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
+    """The rows of `df` whose `cols` are among `keys`, and perhaps a few others; beyond MOST_BITS keys by a semi join."""
+    if keys.count() > MOST_BITS:
+        return df.join(keys.select(*cols), list(cols), "left_semi")
+    return mark(df, keys, "_in", *cols).filter("_in").select(*df.columns)

@@ -2,8 +2,8 @@
 
 Rows are grouped by length, then by the hash of a prefix, and only rows whose length and prefix
 both occur elsewhere have their whole content hashed. The first two levels run on one small
-table of (length, prefix hash, rows); the third learns who survived from a bitmap of fixed size,
-so no text is shuffled and nothing that grows with the data is broadcast.
+table of (length, prefix hash, rows); the third learns who survived from a bitmap of at most
+32 MiB, so no text is shuffled.
 
 Defined cases: a null text counts as empty; empty texts are equal to one another; repeated rows
 are copies of one another, and of rows that tie on the largest id exactly one stays; an empty
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import Scratch, key_filter, mark, table
+from millrace.llm._common import Scratch, mark, table
 
 PREFIX_CHARS = 256
 
@@ -37,7 +37,7 @@ def exact_dedup(
     level = scratch.put(sized.groupBy("_len", "_head").agg(F.count("*").alias("_n")), "sizes")
     same_length = level.groupBy("_len").agg(F.sum("_n").alias("_of_length")).filter("_of_length > 1")
     same_head = level.filter("_n > 1").join(same_length, "_len", "left_semi")
-    survivors = key_filter(same_head, "_len", "_head")
+    survivors = scratch.put(same_head.select("_len", "_head"), "survivors")
 
     read = docs.select(
         F.col(id_col).alias("_id"),

@@ -9,12 +9,15 @@ A document is the set of its distinct shingles; two link at NUM/DEN similarity o
    shingles of their prefixes (and none more is dropped).
 3. Families. The centre of a shingle is the document of its posting with the commonest
    shingles; a document joins the centre that spares it most candidates, if these are many or a
-   good part of its prefix points there. Documents that link to their centre are done. Let D = x ^ centre. As
-   |x ^ y| = |D_x ^ D_y|, a document that does not link to its centre needs shingles outside
-   the centre in common with any partner of its family: at least `_least_shared`. Those that
-   cannot have so many are alone in their family; the others are compared with it in blocks of
-   bounded size. So a family costs a comparison per member, and not one per pair.
-4. Documents of different families that share enough prefix shingles are verified one by one.
+   good part of its prefix points there (but leaves it again if it proves too far from the centre
+   to link with what links to it, and has few candidates). Documents that link to their centre
+   are done. Let D = x ^ centre. As |x ^ y| = |D_x ^ D_y|, a document that does not link to its
+   centre needs shingles outside the centre in common with any partner of its family: at least
+   `least_shared`. So only a prefix of those outside is looked up, as in 2. Documents that find
+   too few are alone in their family; the others are compared with it in blocks of bounded size.
+   So a family costs a comparison per member, and not one per pair.
+4. Documents of different families that share enough prefix shingles are verified one by one; of
+   a shingle's postings those of its commonest family are not paired with one another.
 5. Components of the verified links.
 
 Shingles are 64-bit hashes. Defined cases: null, empty and wordless texts have an empty set and
@@ -33,12 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._common import Scratch, importable, key_filter, mark, table
+from millrace.llm._common import Scratch, importable, narrowed, table
 from millrace.llm._components import components
 
 WORDS, NUM, DEN = 4, 85, 100
-SKETCH = 1 << 16
-TOKEN_BITS = 1 << 26
+#: Cells of the sketch (8 MB), and the rows in which each task hands over its own.
+SKETCH, PIECES = 1 << 20, 64
 #: Share of its prefix by which a document joins a centre, or candidates that it would have outside.
 NEAR, COSTLY = 0.15, 64
 #: Code points that a worker hashes at a time.
@@ -86,23 +89,58 @@ def _need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def prefix(own: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+class Order:
+    """All shingles in the order of their counts in the sketch, rarest first; of equal counts by hash."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells, self.usual = cells, float(cells.mean())
+
+    def first(self, own: np.ndarray, need: int, several: list[int]) -> tuple[np.ndarray, int]:
+        """The rarest shingles of a sorted set that hold `l` of any `need` of its shingles, and `l`: of `several` the one that costs least."""
+        count = self.cells[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
+        order = np.argsort(count, kind="stable")
+        excess = np.cumsum(np.maximum(count[order] - self.usual - 4 * np.sqrt(self.usual) - 1, 0))
+        best, cost = 1, np.inf
+        for l in sorted({min(need, x) for x in several}):
+            size = len(own) - need + l
+            now = size + excess[size - 1] / l
+            if now < cost:
+                best, cost = l, now
+        return own[order[: len(own) - need + best]], best
+
+
+def prefix(own: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, int]:
     """Rarest shingles of a set and how many of them a partner must have."""
     n = len(own)
     if n * (den - num) < num:
         return own[:0], 0
-    count = sketch[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
-    order = np.lexsort((own, count))
-    usual = float(sketch.mean())
-    excess = np.cumsum(np.maximum(count[order] - usual - 4 * np.sqrt(usual) - 1, 0))
-    need = _need(n, num, den)
-    best, cost = 1, np.inf
-    for l in sorted({min(need, x) for x in (2 + n // 25, 3 + n // 12)}):
-        size = n - need + l
-        now = size + excess[size - 1] / l
-        if now < cost:
-            best, cost = l, now
-    return own[order[: n - need + best]], best
+    return order.first(own, _need(n, num, den), [2 + n // 25, 3 + n // 12])
+
+
+def least_shared(n: int, centre: int, both: int, num: int, den: int) -> int:
+    """Shingles outside the centre that a set of n must share with any partner that was compared with the same centre.
+
+    |x ^ y| = |D_x ^ D_y| may be (den-num)/(den+num) of the sizes at most. Without common
+    shingles outside the centre it is at least |D_x| - |centre| + |y|, which grows with |y|
+    faster than what is allowed; so the smallest possible partner sets the bound.
+    """
+    least = _need(n, num, den)
+    gap = (den + num) * (n - 2 * both + least) - (den - num) * (n + least)
+    return -(-gap // (2 * (den + num)))
+
+
+def outside(x: np.ndarray, centre: np.ndarray, order: Order, num: int, den: int) -> tuple[int, np.ndarray, int | None]:
+    """Shingles in common, the prefix of those of x that the centre lacks, and how many of it a partner must have (None: perhaps none)."""
+    at = np.searchsorted(centre, x)
+    at[at == len(centre)] = 0
+    inside = centre[at] == x if len(centre) else np.zeros(len(x), bool)
+    both, own = int(inside.sum()), x[~inside]
+    need = least_shared(len(x), len(centre), both, num, den)
+    if need <= 0:
+        return both, own, None
+    if need > len(own):
+        return both, own[:0], len(x)
+    return both, *order.first(own, need, [4 + len(own) // 6])
 
 
 def _linked(inter: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -119,43 +157,67 @@ def _texts(batch) -> list[str]:
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: `id`, `n`, two hashes of the set; kind 1: shingle counts by sketch cell, one row for each task and cell."""
+    """kind 0: `id`, `n`, two hashes of the set; kind 1: counts of shingles by cell, each task's in PIECES rows."""
 
     def run(batches):
-        cells = np.zeros(SKETCH, np.int64)
-        names = ["kind", "id", "n", "h1", "h2"]
+        cells = np.zeros(SKETCH, np.uint32)
+        names = ["kind", "id", "n", "h1", "h2", "cells"]
         for batch in _text.sliced(batches):
-            n, h1, h2 = [], [], []
+            n, h1, h2, seen = [], [], [], []
             for words in word_hashes(_texts(batch)):
                 own = shingles(words, size)
-                np.add.at(cells, (own & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                seen.append((own & np.uint64(SKETCH - 1)).astype(np.int64))
                 n.append(len(own))
                 h1.append(int(_text.mix(own + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
                 h2.append(int(_text.mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
+            if seen:
+                cells += np.bincount(np.concatenate(seen), minlength=SKETCH).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(n), np.int32)), batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2))], names
+                [pa.array(np.zeros(len(n), np.int32)), batch.column(0), *(pa.array(x, pa.int64()) for x in (n, h1, h2)), pa.nulls(len(n), pa.binary())], names
             )
-        some = np.flatnonzero(cells)
-        for k in range(0, len(some), 10_000):
-            at = some[k : k + 10_000]
-            zero = pa.array(np.zeros(len(at), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(cells[at]), zero, zero], names)
+        if cells.any():
+            for k, part in enumerate(cells.reshape(PIECES, -1)):
+                zero = pa.array([0], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), zero, zero, zero, pa.array([part.astype("<u4").tobytes()], pa.binary())], names)
+
+    return docs.mapInArrow(run, "kind int, id long, n long, h1 long, h2 long, cells binary")
+
+
+def _order(profile: DataFrame) -> Order:
+    """The sum of all tasks' sketches; only their fixed number of cells comes to the driver."""
 
-    return docs.mapInArrow(run, "kind int, id long, n long, h1 long, h2 long")
+    def added(kind):
+        def run(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    part = np.frombuffer(raw.as_py(), kind)
+                    total[k] = total[k] + part if k in total else part.astype("<i8")
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["id", "cells"])
 
+        return run
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, num: int, den: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    kinds = "id long, cells binary"
+    parts = profile.filter("kind = 1").select("id", "cells").mapInArrow(added("<u4"), kinds)
+    cells = np.zeros((PIECES, SKETCH // PIECES), np.int64)
+    for k, raw in parts.repartition("id").mapInArrow(added("<i8"), kinds).collect():
+        cells[k] = np.frombuffer(raw, "<i8")
+    return Order(cells.ravel())
 
+
+def _prefixes(docs: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in _text.sliced(batches):
             ids, parts, n, least = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
             for words in word_hashes(_texts(batch)):
                 own = shingles(words, size)
-                some, l = prefix(own, shared.value, num, den)
+                some, l = prefix(own, order.value, num, den)
                 parts.append(some)
                 n.append(len(own))
                 least.append(l)
+            if not parts:
+                continue
             k = np.array([len(x) for x in parts], np.int64)
             rows = [np.concatenate(parts).astype(np.int64), np.repeat(ids, k), *(np.repeat(np.array(x, np.int64), k) for x in (n, k, least))]
             for a in range(0, len(rows[0]), 200_000):
@@ -165,20 +227,19 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, size: int, num: int, den: int
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """(id, set) of the wanted ids, and of some others that the fixed-size filter lets pass."""
+    """(id, set) of the wanted ids, and perhaps of some others."""
 
     def run(batches):
         for batch in _text.sliced(batches):
             made = [shingles(words, size).astype("<u8").tobytes() for words in word_hashes(_texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "set"])
 
-    near = mark(docs, key_filter(wanted, "id"), "_in", "id").filter("_in").select("id", "text")
-    return scratch.put(near.mapInArrow(run, "id long, set binary"), "sets")
+    return scratch.put(narrowed(docs, wanted, "id").mapInArrow(run, "id long, set binary"), "sets")
 
 
 def _only(sets: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """The sets of the ids in a column of `wanted`, and a few others: what is not needed is not shuffled."""
-    return mark(sets, key_filter(wanted.select(F.col(name).alias("id")), "id"), "_in", "id").filter("_in").select("id", "set")
+    return narrowed(sets, wanted.select(F.col(name).alias("id")), "id").select("id", "set")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, x: str, y: str) -> DataFrame:
@@ -187,40 +248,24 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.join(left, x).join(right, y)
 
 
-def _common(pairs: DataFrame, kinds: str, x: str, y: str, extra: bool = False) -> DataFrame:
-    """Adds `both` (shingles in common) to pairs with sets and, if `extra`, `own` (those of x that y lacks)."""
+def _common(pairs: DataFrame, kinds: str, order, num: int, den: int) -> DataFrame:
+    """Adds `both` (shingles in common) to pairs with sets, the prefix `own` of those of x that y lacks, and `lo`, how many of it are needed."""
 
     def run(batches):
         for batch in _text.sliced(batches):
             sx, sy = batch.column(batch.schema.get_field_index("_sx")), batch.column(batch.schema.get_field_index("_sy"))
-            both, own = [], []
+            both, own, least = [], [], []
             for a, b in zip(sx, sy, strict=True):
-                a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                inside = b[at] == a if len(b) else np.zeros(len(a), bool)
-                both.append(int(inside.sum()))
-                own.append(a[~inside].astype(np.int64) if extra else None)
+                n, some, l = outside(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8"), order.value, num, den)
+                both.append(n)
+                own.append(some.astype(np.int64))
+                least.append(l)
             keep = [c for c in batch.schema.names if c not in ("_sx", "_sy")]
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(both, pa.int64())]
-            if extra:
-                cols.append(pa.array(own, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "both", *(["own"] if extra else [])])
-
-    return pairs.mapInArrow(run, kinds + ", both long" + (", own array<long>" if extra else ""))
-
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            made = [pa.array(both, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(least, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *made], [*keep, "both", "own", "lo"])
 
-def _least_shared(num: int, den: int) -> Column:
-    """Shingles outside the centre that x must share with any partner of its family.
-
-    |x ^ y| = |D_x ^ D_y| may be (den-num)/(den+num) of the sizes at most. Without common
-    shingles outside the centre it is at least |D_x| - |centre| + |y|, which grows with |y|
-    faster than what is allowed; so the smallest possible partner sets the bound.
-    """
-    allowed = (den - num) / (den + num)
-    smallest = F.greatest(F.col("_least"), F.ceil(F.col("n") * num / den))
-    gap = F.col("_d") - F.col("np") + smallest - allowed * (F.col("n") + smallest)
-    return F.ceil(gap / 2 - 1e-6)
+    return pairs.mapInArrow(run, kinds + ", both long, own array<long>, lo long")
 
 
 def _compare_blocks(few: DataFrame, all_: DataFrame, num: int, den: int) -> DataFrame:
@@ -267,67 +312,83 @@ def _compare_blocks(few: DataFrame, all_: DataFrame, num: int, den: int) -> Data
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a long, b long")
 
 
-def _links(docs: DataFrame, sketch: np.ndarray, reps: DataFrame, scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, order, reps: DataFrame, scratch: Scratch, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between documents of different sets that connect what is to be connected."""
-    chosen = mark(docs, key_filter(reps.withColumnRenamed("rep", "id"), "id"), "_in", "id").filter("_in").select("id", "text")
-    post = scratch.put(_prefixes(chosen, sketch, size, num, den), "prefixes")
-    several = post.groupBy("tok").agg(F.min("id").alias("_a"), F.max("id").alias("_z"), F.count("*").alias("df")).filter("_a < _z")
-    several = scratch.put(several.select("tok", "df"), "tokens")
-    live = mark(post, key_filter(several, "tok", bits=TOKEN_BITS), "_in", "tok", bits=TOKEN_BITS).filter("_in").drop("_in")
-    live = scratch.put(live.join(several, "tok"), "postings")
+    chosen = narrowed(docs, reps.select(F.col("rep").alias("id")), "id")
+    post = scratch.put(_prefixes(chosen, order, size, num, den), "prefixes")
+    several = scratch.put(post.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1"), "tokens")
+    live = scratch.put(narrowed(post, several, "tok").join(several, "tok"), "postings")
     scratch.drop(post, several)
 
     weight = scratch.put(live.groupBy("id").agg(F.sum("df").alias("w")), "weights")
     top = live.join(weight, "id").groupBy("tok").agg(F.max(F.struct("w", (-F.col("id")).alias("_i"), F.col("n").alias("np"))).alias("_t"))
     centres = scratch.put(top.select("tok", (-F.col("_t._i")).alias("fam"), "_t.np"), "centres")
-    points = live.join(centres, "tok").groupBy("id", "n", "k", "l", "fam", "np").agg(F.count("*").alias("_c"), F.sum("df").alias("_cost"))
+    points = live.join(centres, "tok").groupBy("id", "n", "k", "fam", "np").agg(F.count("*").alias("_c"), F.sum("df").alias("_cost"))
     best = points.filter("fam <> id").groupBy("id", "n", "k").agg(F.max(F.struct("_cost", "_c", (-F.col("fam")).alias("_f"), "np")).alias("_b"))
-    near = (F.col("_b._cost") >= COSTLY) | (F.col("_b._c") >= F.greatest(F.lit(2), F.ceil(F.col("k") * NEAR))) | ((F.col("k") <= 2) & (F.col("_b._c") >= 1))
-    family = scratch.put(best.filter(near).select("id", "n", (-F.col("_b._f")).alias("fam"), "_b.np"), "families")
+    costly = F.col("_b._cost") >= F.greatest(F.lit(COSTLY), "k")
+    near = costly | (F.col("_b._c") >= F.greatest(F.lit(2), F.ceil(F.col("k") * NEAR))) | ((F.col("k") <= 2) & (F.col("_b._c") >= 1))
+    family = scratch.put(best.filter(near).select("id", "n", (-F.col("_b._f")).alias("fam"), "_b.np", costly.cast("long").alias("costly")), "families")
     scratch.drop(weight, centres)
 
-    wanted = family.select("id").unionAll(family.select(F.col("fam").alias("id")).distinct())
+    wanted = scratch.put(family.select("id").unionAll(family.select(F.col("fam").alias("id")).distinct()), "wanted")
     sets = _sets(docs, wanted, scratch, size)
-    kinds = ", ".join(f"{c} long" for c in ("fam", "id", "n", "np"))
-    pairs = _with_sets(family, sets, "id", "fam").select("fam", "id", "n", "np", "_sx", "_sy")
-    delta = _common(pairs, kinds, "id", "fam", extra=True)
+    names = ("fam", "id", "n", "np", "costly")
+    pairs = _with_sets(family, sets, "id", "fam").select(*names, "_sx", "_sy")
+    delta = _common(pairs, ", ".join(f"{c} long" for c in names), order, num, den)
     linked = _linked(F.col("both"), F.col("n"), F.col("np"), num, den)
-    delta = delta.select("fam", "id", "n", "np", (F.col("n") + F.col("np") - 2 * F.col("both")).alias("_d"), linked.alias("linked"), "own")
+    far = ~_linked(F.col("both"), F.col("n"), F.col("np"), 2 * num - den, den)
+    delta = delta.filter(~far | (F.col("costly") == 1)).select("fam", "id", "n", linked.alias("linked"), "own", "lo")
     delta = scratch.put(delta, "differences")
+    scratch.drop(family, wanted)
     stars = delta.filter("linked").select(F.col("id").alias("a"), F.col("fam").alias("b"))
 
-    outside = delta.select("fam", "id", F.explode("own").alias("tok"))
-    twice = outside.groupBy("fam", "tok").agg(F.min("id").alias("_a"), F.max("id").alias("_z")).filter("_a < _z")
-    shared = mark(outside, key_filter(twice, "fam", "tok", bits=TOKEN_BITS), "_in", "fam", "tok", bits=TOKEN_BITS).filter("_in")
-    shared = scratch.put(shared.groupBy("id").agg(F.count("*").alias("_s")), "shared")
-    smallest = scratch.put(delta.groupBy("fam").agg(F.min("n").alias("_least")), "smallest")
-    loose = delta.filter("not linked").drop("own").join(shared, "id", "left").join(smallest, "fam")
-    loose = loose.filter(F.coalesce("_s", F.lit(0)) >= _least_shared(num, den))
-    loose = scratch.put(loose.select("fam", "id"), "loose")
+    wide = delta.select("fam", "id", F.explode("own").alias("tok"))
+    twice = scratch.put(wide.groupBy("fam", "tok").agg(F.min("id").alias("_a"), F.max("id").alias("_z")).filter("_a < _z").select("fam", "tok"), "twice")
+    shared = narrowed(wide, twice, "fam", "tok").groupBy("id").agg(F.count("*").alias("_s"))
+    least = delta.groupBy("fam").agg(F.min("lo").alias("_least"))
+    loose = delta.filter("not linked").select("fam", "id", "lo").join(shared, "id", "left").join(least, "fam")
+    enough = F.col("lo").isNull() | (F.coalesce("_s", F.lit(0)) >= F.least("lo", "_least"))
+    loose = scratch.put(loose.filter(enough).select("fam", "id"), "loose")
     members = delta.select("fam", "id", "linked").join(loose.select(F.col("id").alias("_l")), F.col("id") == F.col("_l"), "left")
     members = members.filter("linked or _l is not null").select("fam", "id").join(loose.select("fam").distinct(), "fam", "left_semi")
     members = scratch.put(members, "members")
     with_set = lambda df, name: scratch.put(df.join(_only(sets, df, "id"), "id").select("fam", "id", "set"), name)
     inside = scratch.put(_compare_blocks(with_set(loose, "loose-sets"), with_set(members, "member-sets"), num, den), "inside")
-    scratch.drop(sets)
+    scratch.drop(sets, twice)
 
     group = scratch.put(delta.select("id", "fam", F.when(F.col("linked"), F.col("fam")).otherwise(F.col("id")).alias("grp")), "groups")
     named = live.join(group, "id", "left").select(
         "tok", "id", "n", "l", F.coalesce("fam", "id").alias("fam"), F.coalesce("grp", "id").alias("grp")
     )
-    mixed = named.groupBy("tok").agg(F.min("fam").alias("_a"), F.max("fam").alias("_z")).filter("_a < _z").select("tok")
-    named = scratch.put(named.join(scratch.put(mixed, "mixed"), "tok"), "crossing")
+    each = named.groupBy("tok", "fam").agg(F.count("*").alias("_n")).groupBy("tok").agg(F.count("*").alias("_f"), F.max(F.struct("_n", "fam")).alias("_m"))
+    mixed = scratch.put(each.filter("_f > 1").select("tok", F.col("_m.fam").alias("main")), "mixed")
+    named = scratch.put(named.join(mixed, "tok"), "crossing")
     right = named.select("tok", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "l", "fam", "grp")))
-    apart = (F.col("id") < F.col("id2")) & (F.col("fam") != F.col("fam2")) & (F.col("grp") != F.col("grp2")) & _sizes("n", "n2", num, den)
+    once = (F.col("fam2") == F.col("main")) | (F.col("id") < F.col("id2"))
+    apart = once & (F.col("fam") != F.col("fam2")) & (F.col("grp") != F.col("grp2")) & _sizes("n", "n2", num, den)
     apart = apart & (F.col("fam") != F.col("id2")) & (F.col("fam2") != F.col("id"))
-    across = named.join(right, (named["tok"] == right["tok"]) & apart)
-    across = across.groupBy("id", "id2", "n", "n2", "l", "l2").agg(F.count("*").alias("_c")).filter("_c >= least(l, l2)")
-    across = scratch.put(across.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "n2"), "across")
-    ends = across.select(F.col("a").alias("id")).unionAll(across.select(F.col("b").alias("id"))).distinct()
-    more = _sets(docs, ends, scratch, size)
-    checked = _common(_with_sets(across, more, "a", "b").select("a", "b", "n", "n2", "_sx", "_sy"), "a long, b long, n long, n2 long", "a", "b")
-    crossing = checked.filter(_linked(F.col("both"), F.col("n"), F.col("n2"), num, den)).select("a", "b")
-    return scratch.put(stars.unionAll(inside).unionAll(crossing), "verified")
+    across = named.filter("fam <> main").join(right, (named["tok"] == right["tok"]) & apart)
+    ends = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("l", "l2").alias("l")]
+    across = across.groupBy(*ends).agg(F.count("*").alias("_c")).filter("_c >= l")
+    across = scratch.put(across.select("a", "b"), "across")
+    wanted = scratch.put(across.select(F.col("a").alias("id")).unionAll(across.select(F.col("b").alias("id"))).distinct(), "ends")
+    pairs = _with_sets(across, _sets(docs, wanted, scratch, size), "a", "b").select("a", "b", "_sx", "_sy")
+    return scratch.put(stars.unionAll(inside).unionAll(_verified(pairs, num, den)), "verified")
+
+
+def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+
+    def run(batches):
+        for batch in _text.sliced(batches):
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(den * both >= num * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -339,12 +400,10 @@ def near_duplicates(
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = scratch.put(_profile(docs, words), "profile")
-    sketch = np.zeros(SKETCH, np.int64)
-    for cell, n in profile.filter("kind = 1").groupBy("id").agg(F.sum("n")).collect():
-        sketch[cell] = n
+    order = spark.sparkContext.broadcast(_order(profile))
     rows = profile.filter("kind = 0").select("id", "n", "h1", "h2")
     classes = scratch.put(rows.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
-    links = _links(docs.filter("id is not null"), sketch, classes, scratch, words, num, den)
+    links = _links(docs.filter("id is not null"), order, classes, scratch, words, num, den)
     same = rows.join(classes, ["h1", "h2", "n"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = scratch.put(components(links.unionAll(same), scratch), "components")
     return rows.join(found, rows["id"] == found["node"], "left").select(
