@@ -7,17 +7,21 @@ and adaptive execution splits skewed keys. Bounds that act on one another (sever
 one-shot records) run through the sequential engine.
 
 Rows with a null key take no part, not even as unmatched rows.
+
+Arrivals. A source's rows have an arrival number, `_at`. In a join it becomes the array (number,
+source), and a joined row has its later record's array followed by the earlier one's. So joined
+rows have arrivals of their own, whose order is that in which a replay would emit them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import windows as W
-from millrace.operators.ranks import previous, ranged, running
+from millrace.operators.ranks import number, previous, ranged, running
 from millrace.operators.sequential import replay_join
 
 KINDS = {
@@ -41,6 +45,14 @@ class Side:
     window: W.Window = None
     buffer: int | None = None
     one_shot: bool = False
+    source: int | None = None
+
+    def arrival(self) -> Column:
+        """`_at` as an array; of a source that is itself a query's result its own arrays follow the number."""
+        if self.source is None:
+            return F.col("_at")
+        first = F.array(number(self.df).cast("long"), F.lit(self.source).cast("long"))
+        return F.concat(first, "_at") if self.df.schema["_at"].dataType.typeName() == "array" else first
 
     def bounds(self) -> int:
         return (self.window is not None) + (self.buffer is not None) + 2 * self.one_shot
@@ -72,16 +84,16 @@ def _annotated(left: Side, right: Side, gc: str, order: str, cuts: list, held: l
             from millrace.functions.paths import column, expression, row
 
             keep = column(s.window.keep(row[s.schema])) if callable(s.window.keep) else expression(s.window.keep)
-        at = F.col("_at") if order == "time" else F.col("_at") + F.lit(0)
-        parts.append(s.df.select(F.lit(n).alias("_side"), "_k", at.alias("_at"), "_t", keep.alias("_keep"), F.struct(*cols).alias(f"_p{n}")))
+        parts.append(s.df.select(F.lit(n).alias("_side"), "_k", s.arrival().alias("_at"), "_t", keep.alias("_keep"), F.struct(*cols).alias(f"_p{n}")))
     kind0, kind1 = parts[0].schema["_p0"].dataType, parts[1].schema["_p1"].dataType
     both = parts[0].withColumn("_p1", F.lit(None).cast(kind1)).unionByName(parts[1].withColumn("_p0", F.lit(None).cast(kind0)))
-    sequence = ["_at", "_side"] if order == "time" else ["_side", "_at"]
+    both = both.withColumn("_no", F.col("_at")[0])
+    sequence = ["_no", "_at"] if order == "time" else ["_side", "_no", "_at"]
     counts = {"_nl": F.when(F.col("_side") == 0, 1).otherwise(0), "_nr": F.when(F.col("_side") == 1, 1).otherwise(0)}
     windows = (left.window, right.window)
     if any(isinstance(w, W.Count) for w in windows) or any(b is not None for b in (left.buffer, right.buffer)) or gc == "lazy":
         if order == "time":
-            both = ranged(both, "_at", cuts)
+            both = ranged(both, F.col("_no"), cuts)
         else:
             both = both.withColumn("_range", F.col("_side"))
         if held is not None:
@@ -108,11 +120,13 @@ def _annotated(left: Side, right: Side, gc: str, order: str, cuts: list, held: l
     return out[0], out[1]
 
 
-def _unpack(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    at = F.greatest(F.coalesce("_l_at", "_r_at"), F.coalesce("_r_at", "_l_at"))
+def _unpack(df: DataFrame, left: list[str], right: list[str], order: str) -> DataFrame:
+    later = F.col("_r_at") > F.col("_l_at") if order == "time" else F.lit(True)
+    both = F.when(later, F.concat("_r_at", "_l_at")).otherwise(F.concat("_l_at", "_r_at"))
     return df.select(
-        *(F.col(f"_l_p.`{c}`").alias(c) for c in left), *(F.col(f"_r_p.`{c}`").alias(c) for c in right), at.alias("_at")
-    )
+        *(F.col(f"_l_p.`{c}`").alias(c) for c in left), *(F.col(f"_r_p.`{c}`").alias(c) for c in right),
+        F.coalesce(both, "_l_at", "_r_at").alias("_at"),
+    )
 
 
 def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time", cuts: list | None = None, held: list | None = None) -> tuple[DataFrame, DataFrame]:
@@ -125,12 +139,12 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
     kind = kind.lower()
     if kind not in KINDS:
         raise ValueError(f"unknown join type {kind!r}; one of {sorted(KINDS)}")
-    left, right = (Side(s.df.filter(F.col("_k").isNotNull()), s.schema, s.window, s.buffer, s.one_shot) for s in (left, right))
+    left, right = (replace(s, df=s.df.filter(F.col("_k").isNotNull())) for s in (left, right))
     matches, lone_left, lone_right = KINDS[kind]
     names = [[c for c in s.df.columns if not c.startswith("_")] for s in (left, right)]
     if max(left.bounds(), right.bounds()) > 1:
         pairs, expired = replay_join(left, right, gc, order, cuts)
-        l, r = _annotated(Side(left.df, left.schema), Side(right.df, right.schema), "strict", order, cuts)
+        l, r = _annotated(*(replace(s, window=None, buffer=None, one_shot=False) for s in (left, right)), "strict", order, cuts)
         same = pairs.join(l, pairs["l_at"] == l["_l_at"]).join(r, pairs["r_at"] == r["_r_at"]).drop("l_at", "r_at")
         out = [same] if matches else []
         if lone_left:
@@ -140,7 +154,7 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
         whole = out[0]
         for x in out[1:]:
             whole = whole.unionByName(x, allowMissingColumns=True)
-        return _fill(whole, l, r, names), expired
+        return _fill(whole, l, r, names, order), expired
     l, r = _annotated(left, right, gc, order, cuts, held)
     first = F.col("_l_at") <= F.col("_r_at") if order == "time" else F.lit(True)
     on = F.col("_l_k") == F.col("_r_k")
@@ -148,7 +162,7 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
         on = on & F.when(first, _hold(left, "_l", "_r", gc)).otherwise(_hold(right, "_r", "_l", gc))
     if kind in ("inner", "left", "right", "outer"):
         joined = l.join(r, on, {"outer": "full"}.get(kind, kind))
-        rows = _unpack(joined, *names)
+        rows = _unpack(joined, *names, order)
     else:
         rows = None
         if lone_left:
@@ -156,16 +170,16 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
         if lone_right:
             some = r.join(l, on, "left_anti")
             rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
-        rows = _fill(rows, l, r, names)
+        rows = _fill(rows, l, r, names, order)
     return rows, _expired(left, right, l, r, on)
 
 
-def _fill(rows: DataFrame, l: DataFrame, r: DataFrame, names) -> DataFrame:
+def _fill(rows: DataFrame, l: DataFrame, r: DataFrame, names, order: str) -> DataFrame:
     for side in (l, r):
         for f in side.schema.fields:
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return _unpack(rows, *names)
+    return _unpack(rows, *names, order)
 
 
 def packet(step: int, schema: str, key: Column, reason: Column, matched: Column, record: Column, origin: str = "join") -> list[Column]:

@@ -1,7 +1,7 @@
 """Positions in a total order without a single-partition window.
 
-Rows are dealt into ranges of the order (bounds from an approximate percentile, a fixed number
-of them); running values are computed within a range and shifted by what the ranges before hold,
+Rows are dealt into ranges of the order (bounds from an approximate percentile, as many as the
+rows need); running values are computed within a range and shifted by what the ranges before hold,
 a table of one row per range (and key).
 """
 
@@ -10,29 +10,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Rows of a range, and ranges at least and at most.
+RANGE_ROWS, FEWEST, MOST = 250_000, 8, 4096
 
 
-def bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list:
-    """Values of `order` that part the rows into ranges of about the same size."""
+def number(df: DataFrame) -> Column:
+    """The arrival number of a row: `_at`, or its first element where rows were joined."""
+    return F.col("_at")[0] if df.schema["_at"].dataType.typeName() == "array" else F.col("_at")
+
+
+def bounds(df: DataFrame, order: str) -> list:
+    """Values of `order` that part the rows into ranges of about the same size; more rows have more ranges."""
+    shape = df.agg(F.count("*").alias("n"), F.percentile_approx(order, F.array(*(F.lit(i / 1024) for i in range(1, 1024))), F.lit(10_000)).alias("b")).first()
+    ranges = min(MOST, max(FEWEST, -(-shape["n"] // RANGE_ROWS)))
+    if ranges <= 1024:
+        found = shape["b"] or []
+        return sorted({found[i * 1024 // ranges - 1] for i in range(1, ranges)} if found else ())
     cuts = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    return sorted(set(df.select(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(100_000)).alias("b")).first()["b"] or []))
 
 
-def ranged(df: DataFrame, order: str, cuts: list) -> DataFrame:
+def ranged(df: DataFrame, order: Column, cuts: list) -> DataFrame:
     """Adds `_range`, which grows with `order`; any cuts give right results, even ones equal work."""
-    if not cuts:
-        return df.withColumn("_range", F.lit(0))
-    at = F.array(*(F.lit(b) for b in cuts))
-    return df.withColumn("_range", F.size(F.filter(at, lambda b: b < F.col(order))))
+
+    def at(low: int, high: int) -> Column:
+        """The number of cuts below the value, between `low` and `high`: a search tree."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(order > F.lit(cuts[middle]), at(middle + 1, high)).otherwise(at(low, middle))
+
+    return df.withColumn("_range", at(0, len(cuts)))
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
     """Running totals of `sums` in the order, this row included, over everything or for each key; needs `_range`."""
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     whole = df.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    # without keys this table has RANGES rows at most
+    # without keys this table has a row for each range
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = whole.select(*keys, "_range", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums))
     out = df.withColumns({f"_w_{n}": F.sum(c).over(within) for n, c in sums.items()})

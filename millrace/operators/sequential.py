@@ -102,20 +102,39 @@ class JoinReplay:
                     self._leave(x, W.COMPLETED)
 
 
-def _run(pdf: pd.DataFrame, windows, buffers, shots, lazy: bool) -> pd.DataFrame:
-    engine = JoinReplay(windows, buffers, shots, lazy)
-    for r in pdf.itertuples(index=False):
-        number = lambda v: None if v is None or v != v else float(v)
-        engine.arrive(int(r.side), r.key, int(r.at), number(r.t), number(r.prev), bool(r.keep))
-    engine.finish()
-    rows = [(0, a, b, None, None, None) for a, b in engine.pairs]
-    rows += [(1, at if side == 0 else None, at if side == 1 else None, side, reason, matched) for side, at, reason, matched in engine.out]
-    out = pd.DataFrame(rows, columns=["what", "l_at", "r_at", "side", "reason", "matched"])
-    return out.astype({"what": "int32", "l_at": "Int64", "r_at": "Int64", "side": "Int32", "matched": "boolean"})
+def _replayed(batches, make):
+    """Rows of a frame sorted by run, in order, through an engine for each run; state does not outlive a run."""
+    engine, run = None, None
+
+    def drained() -> pd.DataFrame:
+        rows = [(0, a, b, None, None, None) for a, b in engine.pairs]
+        rows += [(1, at if side == 0 else None, at if side == 1 else None, side, reason, matched) for side, at, reason, matched in engine.out]
+        engine.pairs, engine.out = [], []
+        out = pd.DataFrame(rows, columns=["what", "l_at", "r_at", "side", "reason", "matched"])
+        return out.astype({"what": "int32", "side": "Int32", "matched": "boolean"})
+
+    number = lambda v: None if v is None or v != v else float(v)
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if engine is None or r.run != run:
+                if engine is not None:
+                    engine.finish()
+                    yield drained()
+                engine, run = make(), r.run
+            engine.arrive(int(r.side), r.key, [int(x) for x in r.at], number(r.t), number(r.prev), bool(r.keep))
+        if engine is not None:
+            yield drained()
+    if engine is not None:
+        engine.finish()
+        yield drained()
 
 
 def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame, DataFrame]:
-    """(l_at, r_at) of the matches, and the expired records."""
+    """(l_at, r_at) of the matches, and the expired records.
+
+    Partitions are sorted by run (key, or nothing where a count window counts all keys) and arrival
+    and streamed, so that a worker holds the records in the windows only.
+    """
     from millrace.functions.paths import column, expression, row
     from millrace.operators.joins import packet
     from millrace.operators.ranks import previous, ranged
@@ -125,27 +144,29 @@ def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame
         keep = F.lit(True)
         if isinstance(s.window, W.Predicate):
             keep = column(s.window.keep(row[s.schema])) if callable(s.window.keep) else expression(s.window.keep)
-        parts.append(s.df.select(F.lit(n).alias("side"), F.col("_k").cast("string").alias("key"), F.col("_at").alias("at"), F.col("_t").alias("t"), F.coalesce(keep, F.lit(False)).alias("keep")))
+        parts.append(s.df.select(F.lit(n).alias("side"), F.col("_k").cast("string").alias("key"), s.arrival().alias("at"), F.col("_t").alias("t"), F.coalesce(keep, F.lit(False)).alias("keep")))
     both = parts[0].unionAll(parts[1])
-    sequence = ["at", "side"] if order == "time" else ["side", "at"]
+    sequence = ["at"] if order == "time" else ["side", "at"]
     windows, buffers, shots = (left.window, right.window), (left.buffer, right.buffer), (left.one_shot, right.one_shot)
     if gc == "lazy":
-        both = previous(ranged(both, "at", cuts) if order == "time" else both.withColumn("_range", F.col("side")), sequence, "t", "prev").drop("_range")
+        both = previous(ranged(both, F.col("at")[0], cuts) if order == "time" else both.withColumn("_range", F.col("side")), sequence, "t", "prev").drop("_range")
     else:
         both = both.withColumn("prev", F.lit(None).cast("double"))
     whole = any(isinstance(w, W.Count) for w in windows)
     bare = tuple(W.Predicate(None, w.reason) if isinstance(w, W.Predicate) else w for w in windows)
+    both = both.withColumn("run", F.lit("") if whole else F.col("key"))
+    both = (both.repartition(1) if whole else both.repartition("run")).sortWithinPartitions("run", *sequence)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run(pdf.sort_values(sequence, kind="stable"), bare, buffers, shots, gc == "lazy")
+    def make() -> JoinReplay:
+        return JoinReplay(bare, buffers, shots, gc == "lazy")
 
-    schema = "what int, l_at long, r_at long, side int, reason string, matched boolean"
-    made = both.withColumn("one", F.lit(0)).groupBy("one" if whole else "key").applyInPandas(run, schema)
+    kinds = "what int, l_at array<long>, r_at array<long>, side int, reason string, matched boolean"
+    made = both.mapInPandas(lambda batches: _replayed(batches, make), kinds)
     pairs = made.filter("what = 0").select("l_at", "r_at")
     out = None
     for n, s, at in ((0, left, "l_at"), (1, right, "r_at")):
         gone = made.filter(f"what = 1 and side = {n}").select(F.col(at).alias("_gone"), "reason", "matched")
-        rows = s.df.join(gone, F.col("_at") == F.col("_gone"))
+        rows = s.df.withColumn("_own", s.arrival()).join(gone, F.col("_own") == F.col("_gone"))
         rows = rows.select(*packet(0, s.schema, F.col("_k"), F.col("reason"), F.col("matched"), F.col(f"`{s.schema}`")))
         out = rows if out is None else out.unionByName(rows)
     return pairs, out
@@ -158,7 +179,7 @@ def distinct_replay(df: DataFrame, window) -> DataFrame:
     one remembered time. A count window is one sequence over all keys.
     """
     narrow = df.select(F.col("_k").cast("string").alias("key"), F.col("_at").alias("at"), F.col("_t").alias("t"))
-    schema = "at long, passed boolean, reason string"
+    schema = f"at {df.schema['_at'].dataType.simpleString()}, passed boolean, reason string"
     if isinstance(window, W.Interval):
 
         def by_key(batches):

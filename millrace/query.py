@@ -16,6 +16,7 @@ from millrace.operators import windows as W
 from millrace.operators.distinct import distinct
 from millrace.operators.groups import group, nested
 from millrace.operators.ranks import bounds
+from millrace.operators.ranks import number as arrival_number
 from millrace.plans.aggregates import Aggregates
 from millrace.plans.model import DistinctStep, JoinStep, Plan, keys
 from millrace.sources.schema import ARRIVAL, META, SchemaFrame, as_number, rename, wrap
@@ -229,7 +230,7 @@ class Query:
         """Ranges of the arrival order, taken from the sources so that no join is computed for them."""
         every = None
         for s in (self.plan.source, *(j.source for j in self.plan.joins)):
-            at = s.df.select(ARRIVAL)
+            at = s.df.select(arrival_number(s.df).alias(ARRIVAL))
             every = at if every is None else every.unionAll(at)
         return bounds(every, ARRIVAL)
 
@@ -257,11 +258,12 @@ class Query:
         for a in lefts:
             for b in rights:
                 made = []
-                for frame, s, w, size in ((left, a, wl, buffers[0]), (right, b, wr, buffers[1])):
+                # the left side of a later join brings the arrivals of the joins before it
+                for frame, s, w, size, source in ((left, a, wl, buffers[0], 0 if number == 1 else None), (right, b, wr, buffers[1], number)):
                     k = step.using[s]
                     some = frame.df.filter(F.col(f"`{s}`").isNotNull())
                     some = some.withColumns({"_k": F.col(f"`{s}`.`{k.field}`"), "_t": self._time(frame, s, w)})
-                    made.append(J.Side(some, s, w, size, k.one_shot))
+                    made.append(J.Side(some, s, w, size, k.one_shot, source))
                 kind = step.kind
                 cuts = self._cuts if self.plan.order == "time" and self._looks_at_order(step) else []
                 rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts, self._held if number > 1 else None)
