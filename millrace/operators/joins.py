@@ -63,8 +63,8 @@ def _hold(side: Side, before: str, later: str, gc: str) -> Column:
     out = F.lit(True)
     w = side.window
     if isinstance(w, W.Interval):
-        clock = f"{later}_prev" if gc == "lazy" else f"{later}_t"
-        out = F.coalesce(F.col(clock) - F.col(f"{before}_t") <= w.offset, F.lit(True))
+        clock = F.lit(w.now) if w.now is not None else F.col(f"{later}_prev" if gc == "lazy" else f"{later}_t")
+        out = F.coalesce(clock - F.col(f"{before}_t") <= w.offset, F.lit(True))
     elif isinstance(w, W.Count):
         out = F.col(f"{later}_other") - F.col(f"{before}_rank") < w.count
     elif isinstance(w, W.Predicate):
@@ -207,7 +207,8 @@ def _expired(left: Side, right: Side, l: DataFrame, r: DataFrame, on: Column) ->
         held = df.join(F.broadcast(tops))
         w = side.window
         if isinstance(w, W.Interval):
-            reason = F.when(F.col("_tmax") - F.col(f"{p}_t") > w.offset, w.reason).otherwise(reason)
+            last = F.col("_tmax") if w.now is None else F.lit(w.now)
+            reason = F.when(last - F.col(f"{p}_t") > w.offset, w.reason).otherwise(reason)
         elif isinstance(w, W.Count):
             reason = F.when(n - F.col(f"{p}_rank") >= w.count, W.EVICTED).otherwise(reason)
         elif isinstance(w, W.Predicate):

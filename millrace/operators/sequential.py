@@ -51,10 +51,11 @@ class JoinReplay:
                     x = line.popleft()
                     if not x.gone:
                         self._leave(x, W.EVICTED)
-            elif isinstance(w, W.Interval) and now is not None:
+            elif isinstance(w, W.Interval) and (now if w.now is None else w.now) is not None:
+                clock = now if w.now is None else w.now
                 # times do not fall in arrival order; a record without a time stays
                 kept = deque()
-                while line and (line[0].gone or line[0].t is None or now - line[0].t > w.offset):
+                while line and (line[0].gone or line[0].t is None or clock - line[0].t > w.offset):
                     x = line.popleft()
                     if x.gone:
                         continue
@@ -93,7 +94,7 @@ class JoinReplay:
 
     def _late(self, y: _Held, now) -> bool:
         w = self.windows[y.side]
-        return isinstance(w, W.Interval) and y.t is not None and now - y.t > w.offset
+        return isinstance(w, W.Interval) and y.t is not None and (now if w.now is None else w.now) - y.t > w.offset
 
     def finish(self) -> None:
         for side in (0, 1):
@@ -173,31 +174,46 @@ def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame
 
 
 def distinct_replay(df: DataFrame, window) -> DataFrame:
-    """(at, passed, reason): records with key, at, t in order; a passed key is remembered while the window holds it.
+    """(at, passed, reason, t): records with key, at, t in order; a passed key is remembered while the window holds it.
+
+    A row with `passed` for every record, and one without it for every record that was remembered,
+    when it is forgotten; its reason is null if it was still remembered at the end.
 
     An interval is kept key by key: partitions are sorted by key and arrival and streamed, with
-    one remembered time. A count window is one sequence over all keys.
+    one remembered record. A count window is one sequence over all keys.
     """
     narrow = df.select(F.col("_k").cast("string").alias("key"), F.col("_at").alias("at"), F.col("_t").alias("t"))
-    schema = f"at {df.schema['_at'].dataType.simpleString()}, passed boolean, reason string"
+    names = ["at", "passed", "reason", "t"]
+    schema = f"at {df.schema['_at'].dataType.simpleString()}, passed boolean, reason string, t double"
+    framed = lambda rows: pd.DataFrame(rows, columns=names).astype({"passed": "boolean", "t": "Float64"})
+    plain = lambda at: at if isinstance(at, (int, float)) or not hasattr(at, "tolist") else at.tolist()
     if isinstance(window, W.Interval):
 
+        def forgotten(t, now) -> str | None:
+            """Why a remembered record of time `t` is forgotten at `now`: one without a time, or from the future, at once."""
+            if t is None or (now is not None and now - t > window.offset):
+                return window.reason
+            return W.CLOCK_SKEW if now is not None and now < t else None
+
         def by_key(batches):
-            key, since = None, None
-            fresh = True
+            held = None
             for pdf in batches:
                 rows = []
                 for k, at, t in zip(pdf["key"], pdf["at"], pdf["t"], strict=True):
-                    now = None if t != t else t
-                    if fresh or k != key:
-                        key, fresh, passed = k, False, True
-                    else:
-                        # a remembered record without a time, or from the future, is forgotten at once
-                        passed = since is None or (now is not None and (now < since or now - since > window.offset))
-                    if passed:
-                        since = now
-                    rows.append((at, passed, None if passed else "distinct_schema"))
-                yield pd.DataFrame(rows, columns=["at", "passed", "reason"])
+                    at, t = plain(at), None if t is None or t != t else float(t)
+                    now = t if window.now is None else window.now
+                    if held is not None and held[0] != k:
+                        rows.append((held[1], None, None, held[2]))
+                        held = None
+                    why = None if held is None else forgotten(held[2], now)
+                    if why:
+                        rows.append((held[1], None, why, held[2]))
+                        held = None
+                    rows.append((at, held is None, None if held is None else W.SUPPRESSED, t))
+                    held = held or (k, at, t)
+                yield framed(rows)
+            if held is not None:
+                yield framed([(held[1], None, None, held[2])])
 
         return narrow.repartition("key").sortWithinPartitions("key", "at").mapInPandas(by_key, schema)
 
@@ -206,12 +222,13 @@ def distinct_replay(df: DataFrame, window) -> DataFrame:
         for pdf in batches:
             rows = []
             for k, at in zip(pdf["key"], pdf["at"], strict=True):
-                passed = k not in known
+                passed, at = k not in known, plain(at)
+                rows.append((at, passed, None if passed else W.SUPPRESSED, None))
                 if passed:
-                    known[k] = None
+                    known[k] = at
                     if len(known) > window.count:
-                        known.popitem(last=False)
-                rows.append((at, passed, None if passed else "distinct_schema"))
-            yield pd.DataFrame(rows, columns=["at", "passed", "reason"])
+                        rows.append((known.popitem(last=False)[1], None, W.EVICTED, None))
+            yield framed(rows)
+        yield framed([(at, None, None, None) for at in known.values()])
 
     return narrow.repartition(1).sortWithinPartitions("at").mapInPandas(in_one, schema)

@@ -44,6 +44,18 @@ def orders(spark, d):
     return wrap("orders", table(spark, d, "orders"), id_field="o_orderkey", time_field="o_orderdate", order_by="o_orderkey")
 
 
+def partly(spark, d):
+    """Customers and orders by keys of which some are null and some have no partner on the other side."""
+    c = table(spark, d, "customer").withColumn("c_key", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_custkey")))
+    o = table(spark, d, "orders").withColumn("o_key", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey") + 100))
+    return wrap("customers", c, id_field="c_custkey", order_by="c_custkey"), wrap("orders", o, id_field="o_orderkey", time_field="o_orderdate", order_by="o_orderkey")
+
+
+def _partly(spark, d, kind):
+    c, o = partly(spark, d)
+    return Query.from_(c)._join(kind, o).using(customers="c_key", orders="o_key")
+
+
 def items(spark, d):
     df = table(spark, d, "lineitem")
     key = F.concat_ws(":", "l_orderkey", "l_linenumber")
@@ -56,13 +68,13 @@ def events(spark, d, label="events", kind=None):
 
 
 def two(spark, d, kind):
-    q = Query.from_(customers(spark, d))._join(kind, orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
-    return q.flat("customers.c_custkey", "customers.c_name", "orders.o_orderkey", "orders.o_totalprice")
+    return _partly(spark, d, kind).flat("customers.c_custkey", "customers.c_name", "orders.o_orderkey", "orders.o_totalprice")
 
 
 _TWO = "SELECT c_custkey AS customers_c_custkey, c_name AS customers_c_name, o_orderkey AS orders_o_orderkey, o_totalprice AS orders_o_totalprice FROM "
-_C, _O = "(SELECT * FROM customer WHERE c_custkey IS NOT NULL) c", "(SELECT * FROM orders WHERE o_custkey IS NOT NULL) o"
-_ON = "ON c_custkey = o_custkey"
+_C = "(SELECT *, c_custkey AS c_key FROM customer WHERE c_mktsegment <> 'MACHINERY') c"
+_O = "(SELECT *, o_custkey + 100 AS o_key FROM orders WHERE o_orderpriority <> '5-LOW') o"
+_ON = "ON c_key = o_key"
 for _name, _kind, _sql in (
     ("inner_join", "inner", f"{_TWO}{_C} JOIN {_O} {_ON}"),
     ("left_join", "left", f"{_TWO}{_C} LEFT JOIN {_O} {_ON}"),
@@ -77,7 +89,7 @@ for _name, _kind, _sql in (
 
 @query(f"{_TWO}{_C} JOIN {_O} {_ON}")
 def quickstart(spark, d):
-    q = Query.from_(customers(spark, d)).left_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
+    q = _partly(spark, d, "left")
     return q.where(lambda r: r.orders.o_orderkey.is_not_null()).flat("customers.c_custkey", "customers.c_name", "orders.o_orderkey", "orders.o_totalprice")
 
 
@@ -204,16 +216,37 @@ def per_key_buffer_expired(spark, d):
     return _buffered(spark, d, buffer_size=3).expired().select("schema", "id", "reason")
 
 
-@query()
+#: Folds the arrivals in order: `l` and `r` hold what is in the windows, `p` the pairs.
+_HOLD = """list_reduce(list_prepend({'side': -1, 'k': 0, 'id': 0, 'l': [], 'r': [], 'p': []}, evs), lambda a, x: {
+  'side': 0, 'k': 0, 'id': 0,
+  'l': CASE WHEN x.side = 0 THEN list_append(list_filter(a.l, lambda h: NOT (h.k = x.k AND len(list_filter(a.l, lambda g: g.k = x.k AND g.id > h.id)) >= 1)), {'k': x.k, 'id': x.id})[-50:] ELSE a.l END,
+  'r': CASE WHEN x.side = 1 THEN list_append(list_filter(a.r, lambda h: NOT (h.k = x.k AND len(list_filter(a.r, lambda g: g.k = x.k AND g.id > h.id)) >= 1)), {'k': x.k, 'id': x.id})[-50:] ELSE a.r END,
+  'p': list_concat(a.p, CASE WHEN x.side = 0 THEN list_transform(list_filter(a.r, lambda h: h.k = x.k), lambda h: {'c': x.id, 'b': h.id})
+                             ELSE list_transform(list_filter(a.l, lambda h: h.k = x.k), lambda h: {'c': h.id, 'b': x.id}) END)})"""
+
+
+@query(f"""WITH e AS (SELECT list({{'side': CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, 'k': user_id, 'id': event_id, 'l': CAST([] AS STRUCT(k BIGINT, id BIGINT)[]),
+    'r': CAST([] AS STRUCT(k BIGINT, id BIGINT)[]), 'p': CAST([] AS STRUCT(c BIGINT, b BIGINT)[])}} ORDER BY event_id) AS evs FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT u.c AS clicks_event_id, u.b AS buys_event_id FROM (SELECT unnest({_HOLD}.p) AS u FROM e)""")
 def count_plus_buffer(spark, d):
     return _buffered(spark, d, buffer_size=2).join_window(count=50).flat("clicks.event_id", "buys.event_id")
 
 
-@query()
+@query("""WITH m AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT c.event_id AS clicks_event_id, b.event_id AS buys_event_id FROM m c JOIN m b ON c.user_id = b.user_id AND c.n = b.n AND c.event_type = 'click' AND b.event_type = 'purchase'""")
 def one_shot_join(spark, d):
+    """The i-th click of a user goes with the i-th purchase, as either side matches its earliest record that is left."""
     return _buffered(spark, d, one_shot=True).flat("clicks.event_id", "buys.event_id")
 
 
+@query("""WITH m AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT CASE WHEN event_type = 'click' THEN 'clicks' ELSE 'buys' END AS schema, CAST(event_id AS VARCHAR) AS id, o.user_id IS NOT NULL AS matched,
+  CASE WHEN o.user_id IS NOT NULL THEN 'distinct_match' ELSE 'completed' END AS reason
+FROM m LEFT JOIN (SELECT user_id, n FROM m GROUP BY user_id, n HAVING count(*) = 2) o USING (user_id, n)""")
+def one_shot_matched_expired(spark, d):
+    return _buffered(spark, d, one_shot=True).expired().select("schema", "id", "matched", "reason")
+
+
 @query()
 def one_shot_expired(spark, d):
     return _buffered(spark, d, one_shot=True).join_window(time=DAY).expired().select("schema", "id", "matched", "reason")
@@ -238,10 +271,9 @@ def where_row_view(spark, d):
     return q.where(lambda r: (r.customers.c_mktsegment == "BUILDING") & (r.orders.o_totalprice > 1000)).flat("customers.c_custkey", "orders.o_orderkey")
 
 
-@query("SELECT c_custkey AS customers_c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL AND c_acctbal > 0 AND c_custkey <> 3")
+@query(f"SELECT c_custkey AS customers_c_custkey FROM {_C} LEFT JOIN {_O} {_ON} WHERE o_orderkey IS NULL AND c_acctbal > 0 AND c_custkey <> 3")
 def final_where(spark, d):
-    q = Query.from_(customers(spark, d)).left_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
-    q = q.where(row.orders.o_orderkey.is_null()).final_where(row.customers.c_acctbal > 0).final_where(lambda r: r.customers.c_custkey != 3)
+    q = _partly(spark, d, "left").where(row.orders.o_orderkey.is_null()).final_where(row.customers.c_acctbal > 0).final_where(lambda r: r.customers.c_custkey != 3)
     return q.flat("customers.c_custkey")
 
 
@@ -277,17 +309,33 @@ def distinct_time_window(spark, d):
     return Query.from_(events(spark, d)).distinct("events", "user_id", Interval(DAY)).flat("events.event_id")
 
 
-@query(_GREEDY + "SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS key, 'distinct_schema' AS reason FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE e.user_id = g.user_id AND e.t = g.t)")
+@query(_GREEDY + """SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS key, CASE WHEN NOT EXISTS (SELECT 1 FROM g WHERE e.user_id = g.user_id AND e.t = g.t) THEN 'distinct_schema'
+  WHEN (SELECT max(t) FROM e) - t > 86400000000 THEN 'expired_interval' ELSE 'completed' END AS reason FROM e""")
 def distinct_time_expired(spark, d):
     return Query.from_(events(spark, d)).distinct("events", "user_id", Interval(DAY)).expired().select("id", "key", "reason")
 
 
-@query()
+#: Folds the events in order: `known` holds the last keys that passed, `out` their events, `gone` the events whose keys were pushed out.
+_KNOWN = """WITH e AS (SELECT list({'k': user_id, 'id': event_id, 'known': CAST([] AS STRUCT(k BIGINT, id BIGINT)[]), 'gone': CAST([] AS BIGINT[]), 'out': CAST([] AS BIGINT[])} ORDER BY event_id) AS evs FROM events),
+f AS (SELECT list_reduce(list_prepend({'k': 0, 'id': 0, 'known': [], 'gone': [], 'out': []}, evs), lambda a, x: {'k': 0, 'id': 0,
+  'known': CASE WHEN len(list_filter(a.known, lambda h: h.k = x.k)) > 0 THEN a.known ELSE list_append(a.known, {'k': x.k, 'id': x.id})[-20:] END,
+  'gone': CASE WHEN len(a.known) = 20 AND len(list_filter(a.known, lambda h: h.k = x.k)) = 0 THEN list_append(a.gone, a.known[1].id) ELSE a.gone END,
+  'out': CASE WHEN len(list_filter(a.known, lambda h: h.k = x.k)) > 0 THEN a.out ELSE list_append(a.out, x.id) END}) AS s FROM e)
+"""
+
+
+@query(_KNOWN + """SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id NOT IN (SELECT unnest(s.out) FROM f) THEN 'distinct_schema'
+  WHEN event_id IN (SELECT unnest(s.gone) FROM f) THEN 'evicted' ELSE 'completed' END AS reason FROM events""")
+def distinct_count_expired(spark, d):
+    return Query.from_(events(spark, d)).distinct("events", "user_id", Count(20)).expired().select("id", "reason")
+
+
+@query(_KNOWN + "SELECT unnest(s.out) AS events_event_id FROM f")
 def distinct_count_window(spark, d):
     return Query.from_(events(spark, d)).distinct("events", "user_id", Count(20)).flat("events.event_id")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id, 'distinct_schema' AS reason FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n > 1")
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN n > 1 THEN 'distinct_schema' ELSE 'completed' END AS reason FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)")
 def distinct_duplicates_expired(spark, d):
     return Query.from_(events(spark, d)).distinct("events", "user_id").expired().select("id", "reason")
 
@@ -295,9 +343,84 @@ def distinct_duplicates_expired(spark, d):
 @query("SELECT c_custkey AS customers_c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def distinct_after_join(spark, d):
     q = Query.from_(customers(spark, d)).inner_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
-    q = q.select_schemas("customers").frame
-    first = q.df.withColumn("_at", F.monotonically_increasing_id())
-    return Query.from_(type(q)(first, q.names)).distinct("customers", "c_custkey").flat("customers.c_custkey")
+    return Query.from_(q.select_schemas("customers")).distinct("customers", "c_custkey").flat("customers.c_custkey")
+
+
+#: Customers with their orders, in the order (a, b, e) in which a replay emits them: by the later record, then by the earlier one.
+_JOINED = """j AS (SELECT c_custkey, o_orderkey, greatest(c_custkey, o_orderkey) AS a, CASE WHEN o_orderkey >= c_custkey THEN 1 ELSE 0 END AS b, least(c_custkey, o_orderkey) AS e
+  FROM customer JOIN orders ON c_custkey = o_custkey)"""
+
+
+def _joined(spark, d):
+    return Query.from_(customers(spark, d)).inner_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
+
+
+@query(f"WITH {_JOINED} SELECT c_custkey AS customers_c_custkey, o_orderkey AS orders_o_orderkey FROM j QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY a, b, e) = 1")
+def distinct_after_fanout(spark, d):
+    return _joined(spark, d).distinct("customers", "c_custkey").flat("customers.c_custkey", "orders.o_orderkey")
+
+
+@query(f"""WITH {_JOINED}, m AS (SELECT 0 AS side, o_orderkey AS k, 0 AS line, a, b, e FROM j UNION ALL SELECT 1, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber, 2, 0 FROM lineitem),
+w AS (SELECT *, row_number() OVER (ORDER BY a, b, e) AS n, sum(1 - side) OVER o AS nl, sum(side) OVER o AS nr FROM m WINDOW o AS (ORDER BY a, b, e ROWS UNBOUNDED PRECEDING))
+SELECT l.k AS orders_o_orderkey, r.line AS items_l_linenumber FROM w l JOIN w r ON l.k = r.k AND l.side = 0 AND r.side = 1
+  AND CASE WHEN l.n < r.n THEN r.nl - l.nl < 2000 ELSE l.nr - r.nr < 2000 END""")
+def count_window_after_fanout(spark, d):
+    q = _joined(spark, d).inner_join(items(spark, d)).using(orders="o_orderkey", items="l_orderkey").join_window(count=2000)
+    return q.flat("orders.o_orderkey", "items.l_linenumber")
+
+
+#: The joined rows and the orders once more, numbered for each customer; `nl` and `nr` count either side.
+_AGAIN = f"""WITH {_JOINED}, m AS (SELECT 0 AS side, c_custkey AS k, o_orderkey AS id, a, b, e FROM j UNION ALL SELECT 1, o_custkey, o_orderkey, o_orderkey, 2, 0 FROM orders),
+w AS (SELECT *, row_number() OVER o AS n, sum(1 - side) OVER o AS nl, sum(side) OVER o AS nr FROM m WINDOW o AS (PARTITION BY k ORDER BY a, b, e ROWS UNBOUNDED PRECEDING))
+SELECT l.id AS orders_o_orderkey, r.id AS again_o_orderkey FROM w l JOIN w r ON l.k = r.k AND l.side = 0 AND r.side = 1 AND """
+
+
+def _again(spark, d, **keys):
+    again = wrap("again", table(spark, d, "orders"), id_field="o_orderkey", order_by="o_orderkey")
+    q = _joined(spark, d).inner_join(again).using(customers={"field": "c_custkey", **keys}, again={"field": "o_custkey", **keys})
+    return q.flat("orders.o_orderkey", "again.o_orderkey")
+
+
+@query(_AGAIN + "CASE WHEN l.n < r.n THEN r.nl - l.nl < 2 ELSE l.nr - r.nr < 2 END")
+def buffer_after_fanout(spark, d):
+    return _again(spark, d, buffer_size=2)
+
+
+@query(_AGAIN + "l.nl = r.nr")
+def one_shot_after_fanout(spark, d):
+    return _again(spark, d, one_shot=True)
+
+
+@query("SELECT c_custkey AS customers_c_custkey, o_orderkey AS orders_o_orderkey FROM customer JOIN orders ON c_custkey % 50 = o_custkey % 70 AND c_nationkey = o_orderkey % 25")
+def selector_key_join(spark, d):
+    """Keys that are functions of the record, here of two fields each."""
+    both = lambda a, b: F.concat_ws(":", a, b)
+    q = Query.from_(customers(spark, d)).inner_join(orders(spark, d))
+    q = q.using(customers=lambda c: both(c.c_custkey.column % 50, c.c_nationkey.column), orders=lambda o: both(o.o_custkey.column % 70, o.o_orderkey.column % 25))
+    return q.flat("customers.c_custkey", "orders.o_orderkey")
+
+
+@query("""SELECT 'group' AS origin, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) > 3 THEN 'evicted' ELSE 'completed' END AS reason FROM orders
+UNION ALL SELECT 'join', CAST(c_custkey AS VARCHAR), 'completed' FROM customer
+UNION ALL SELECT 'join', CAST(o_custkey AS VARCHAR), 'completed' FROM orders""")
+def subquery_expired(spark, d):
+    """What left the windows of a query that is a source comes along."""
+    totals = Query.from_(orders(spark, d)).group_by("totals", row.orders.o_custkey).group_window(count=3)
+    q = Query.from_(customers(spark, d)).inner_join(totals).using(customers="c_custkey", totals="_group_key")
+    return q.expired().select("origin", "id", "reason")
+
+
+@query("SELECT event_id AS events_event_id FROM events WHERE event_id % 7 <> 0 AND 1000.0 / (event_id % 7) > 300")
+def where_error_drops_row(spark, d):
+    """A predicate that fails for a record (here it divides by zero) drops it."""
+    return Query.from_(events(spark, d)).where(lambda r: F.lit(1000) / (r.events.event_id.column % 7) > 300).flat("events.event_id")
+
+
+@query(f"SELECT v.event_id AS views_event_id, b.event_id AS buys_event_id FROM {_V} JOIN {_B} ON v.user_id = b.user_id AND CASE WHEN v.event_id < b.event_id THEN epoch_us(v.ts) ELSE epoch_us(b.ts) END >= 1705312800000000 - 86400000000")
+def fixed_clock_join(spark, d):
+    """An interval window whose clock stands still: a record is held if it is within a day of it."""
+    q = Query.from_(events(spark, d, "views", "view")).inner_join(events(spark, d, "buys", "purchase")).using(views="user_id", buys="user_id")
+    return q.join_window(Interval(DAY, current=1705312800000000)).flat("views.event_id", "buys.event_id")
 
 
 def _grouped(spark, d, enrich=False):
@@ -374,7 +497,7 @@ FROM customer LEFT JOIN orders ON c_custkey = o_custkey WINDOW w AS (PARTITION B
 def group_default_counts(spark, d):
     q = Query.from_(customers(spark, d)).left_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
     made = q.group_by(row.customers.c_custkey).group_window(None).latest()
-    each = two(spark, d, "left").select(F.col("customers_c_custkey").alias("_group_key"))
+    each = q.flat("customers.c_custkey").select(F.col("customers_c_custkey").alias("_group_key"))
     return made.select("_group_key", "_count_all", "customers__count_id", "orders__count_id").join(each, "_group_key")
 
 
@@ -429,22 +552,21 @@ def ingest_rr_schedule(spark, d):
     return ingest.round_robin(df, "event_type", "priority", "event_id", 2, 3000)
 
 
-@query("""WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey) AS m,
-  (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS u)
+@query(f"""WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM {_C} JOIN {_O} {_ON}) AS m,
+  (SELECT count(*) FROM {_C}) AS ck, (SELECT count(*) FROM {_O}) AS ok, (SELECT count(*) FROM {_C} WHERE c_key NOT IN (SELECT o_key FROM {_O})) AS u)
 SELECT * FROM (SELECT 'source' AS kind, 1 AS layer, 'customers' AS schema, NULL AS reason, c AS events FROM n UNION ALL SELECT 'source', 1, 'orders', NULL, o FROM n
 UNION ALL SELECT 'match', 2, 'customers', NULL, m FROM n UNION ALL SELECT 'match', 2, 'orders', NULL, m FROM n UNION ALL SELECT 'unmatched', 2, 'customers', NULL, u FROM n
 UNION ALL SELECT 'final', 1, 'customers', NULL, m + u FROM n UNION ALL SELECT 'final', 1, 'orders', NULL, m FROM n
-UNION ALL SELECT 'expire', 1, 'customers', 'completed', c FROM n UNION ALL SELECT 'expire', 1, 'orders', 'completed', o FROM n) WHERE events > 0""")
+UNION ALL SELECT 'expire', 1, 'customers', 'completed', ck FROM n UNION ALL SELECT 'expire', 1, 'orders', 'completed', ok FROM n) WHERE events > 0""")
 def event_log_counts(spark, d):
-    q = Query.from_(customers(spark, d)).left_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
-    return event_log.counts(event_log.event_log(q))
+    return event_log.counts(event_log.event_log(_partly(spark, d, "left")))
 
 
-@query("SELECT (c_custkey - 1) % 100 AS cell_x, (c_custkey - 1) // 100 AS cell_y, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey BETWEEN 1 AND 10000 GROUP BY 1, 2")
+@query("SELECT (c_custkey - 1) % 100 AS cell_x, (c_custkey - 1) // 100 AS cell_y, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey >= 1 GROUP BY 1, 2")
 def projection_cells(spark, d):
     q = Query.from_(customers(spark, d)).inner_join(orders(spark, d)).using(customers="c_custkey", orders="o_custkey")
     schema, name = event_log.projection(q)["domain"].split(".")
-    return event_log.cells(q.flat(f"{schema}.{name}"), f"{schema}_{name}", 100, 100, 1)
+    return event_log.cells(q.flat(f"{schema}.{name}"), f"{schema}_{name}", 100, start=1)
 
 
 @query("SELECT event_id AS events_event_id FROM events WHERE event_id % 2 = 0")

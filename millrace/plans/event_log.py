@@ -16,12 +16,12 @@ def projection(query: Query) -> dict:
         return {"domain": None, "fields": {}}
     first = steps[0].using
     left = next(s for s in query.plan.source.names if s in first)
-    fields = {s: k.field for s, k in first.items()}
+    fields = {s: k.field for s, k in first.items() if isinstance(k.field, str)}
     for step in steps[1:]:
         using = step.using or {}
         if any(fields.get(s) == k.field for s, k in using.items()):
             fields.update({s: k.field for s, k in using.items() if s not in fields})
-    return {"domain": f"{left}.{first[left].field}", "fields": fields}
+    return {"domain": f"{left}.{first[left].field}" if left in fields else None, "fields": fields}
 
 
 def event_log(query: Query) -> DataFrame:

@@ -15,18 +15,18 @@ from millrace.sources.schema import SchemaFrame
 
 @dataclass(frozen=True)
 class Key:
-    field: str
+    field: str | Callable
     buffer: int | None = None
     one_shot: bool = False
 
 
 def keys(spec: dict) -> dict[str, Key]:
-    """Join keys by schema: a field, or a dictionary with field, buffer_size (or per_key_buffer_size) and one_shot."""
+    """Join keys by schema: a field, a function of the row proxy (which gives a column), or a dictionary with field, buffer_size (or per_key_buffer_size) and one_shot."""
     out = {}
     for schema, k in spec.items():
-        if isinstance(k, str):
+        if isinstance(k, str) or callable(k):
             k = {"field": k}
-        if not isinstance(k, dict) or not isinstance(k.get("field"), str):
+        if not isinstance(k, dict) or not (isinstance(k.get("field"), str) or callable(k.get("field"))):
             raise ValueError(f"the key of {schema} is a field name or a dictionary with a field")
         if strange := set(k) - {"field", "buffer_size", "per_key_buffer_size", "one_shot"}:
             raise ValueError(f"unknown key options of {schema}: {sorted(strange)}")

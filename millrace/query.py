@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.functions.paths import Path, expression, get, row
+from millrace.functions.paths import Path, column, expression, get, row
 from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.operators.distinct import distinct
@@ -32,7 +32,7 @@ def set_default_join_window(spec) -> None:
 
 def _source(given, label: str | None = None, **options) -> SchemaFrame | Query:
     """A tagged frame from a tagged frame, a query, or a DataFrame with `label` and wrap() options."""
-    reset = options.pop("reset_time", None)
+    reset, expired = options.pop("reset_time", None), None
     if isinstance(given, DataFrame):
         if not label:
             raise ValueError("a DataFrame source needs a label")
@@ -40,6 +40,7 @@ def _source(given, label: str | None = None, **options) -> SchemaFrame | Query:
             given = given.withColumn(options.setdefault("time_field", "source_time"), F.lit(reset) if not hasattr(reset, "cast") else reset)
         return wrap(label, given, **options)
     if isinstance(given, Query):
+        expired = given.expired()
         given = given.reingest(label, **{k: v for k, v in options.items() if k in ("id_field", "id_selector")})
     elif not isinstance(given, SchemaFrame):
         raise TypeError(f"expected a DataFrame, SchemaFrame or Query, not {type(given).__name__}")
@@ -49,7 +50,18 @@ def _source(given, label: str | None = None, **options) -> SchemaFrame | Query:
         now = (F.lit(reset) if not hasattr(reset, "cast") else reset).cast("double")
         for n in given.names:
             given = SchemaFrame(given.df.withColumn(n, F.col(f"`{n}`").withField(f"{META}.source_time", now)), given.names)
-    return given
+    return given if expired is None else replace(given, expired=expired)
+
+
+def dropping(df: DataFrame, condition) -> DataFrame:
+    """The rows for which the condition holds. Where it fails (a cast, a division by zero, an index out of bounds) the row is dropped, as for null."""
+    conf = df.sparkSession.conf
+    strict = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        return df.filter(expression(condition))
+    finally:
+        conf.set("spark.sql.ansi.enabled", strict)
 
 
 class Query:
@@ -197,7 +209,7 @@ class Query:
                 {
                     "type": j.kind,
                     "source": list(j.source.names),
-                    "key": {s: {"field": k.field, "buffer_size": k.buffer, "one_shot": k.one_shot} for s, k in sorted((j.using or {}).items())},
+                    "key": {s: {"field": k.field if isinstance(k.field, str) else "expression", "buffer_size": k.buffer, "one_shot": k.one_shot} for s, k in sorted((j.using or {}).items())},
                     "window": show(self._window(j)),
                 }
                 for j in p.joins
@@ -262,7 +274,8 @@ class Query:
                 for frame, s, w, size, source in ((left, a, wl, buffers[0], 0 if number == 1 else None), (right, b, wr, buffers[1], number)):
                     k = step.using[s]
                     some = frame.df.filter(F.col(f"`{s}`").isNotNull())
-                    some = some.withColumns({"_k": F.col(f"`{s}`.`{k.field}`"), "_t": self._time(frame, s, w)})
+                    own = F.col(f"`{s}`.`{k.field}`") if isinstance(k.field, str) else column(k.field(row[s]))
+                    some = some.withColumns({"_k": own, "_t": self._time(frame, s, w)})
                     made.append(J.Side(some, s, w, size, k.one_shot, source))
                 kind = step.kind
                 cuts = self._cuts if self.plan.order == "time" and self._looks_at_order(step) else []
@@ -294,7 +307,7 @@ class Query:
         for i, step in enumerate(p.joins, 1):
             frame = self._run_distinct(self._run_join(frame, step, i, gone), i, gone)
         if p.where is not None:
-            frame = SchemaFrame(frame.df.filter(expression(p.where)), frame.names)
+            frame = SchemaFrame(dropping(frame.df, p.where), frame.names)
         if p.selection is not None:
             if missing := set(p.selection) - set(frame.names):
                 raise ValueError(f"unknown schemas {sorted(missing)}")
@@ -312,9 +325,9 @@ class Query:
             gone.append(expired.withColumn("step", F.lit(len(p.joins) + 1)))
             names = names if p.enrich else ()
             if p.having is not None:
-                df = df.filter(expression(p.having))
+                df = dropping(df, p.having)
         for condition in p.final_where:
-            df = df.filter(expression(condition))
+            df = dropping(df, condition)
         observations = {}
         for name, metrics in p.taps:
             observations[name] = Observation(name)
@@ -338,16 +351,22 @@ class Query:
         return self.frame.flat(*fields)
 
     def expired(self) -> DataFrame:
-        """Every record that left a window, why, and whether it had matched. Of join records the selected schemas only."""
+        """Every record that left a window, why, and whether it had matched. Of join records the selected schemas only.
+
+        What left the windows of queries that are sources here comes along as it is.
+        """
         out = None
         for part in self._built[1]:
             out = part if out is None else out.unionByName(part)
-        if out is None:
+        sources = [s for s in (self.plan.source, *(j.source for j in self.plan.joins)) if s.expired is not None]
+        if out is None and not sources:
             return self.frame.df.sparkSession.createDataFrame([], J.EXPIRED)
-        if self.plan.selection is not None:
+        if self.plan.selection is not None and out is not None:
             pairs = F.create_map(*(F.lit(x) for kv in self.plan.selection.items() for x in kv))
             kept = out.filter((F.col("origin") != "join") | F.col("schema").isin(list(self.plan.selection)))
             out = kept.withColumn("schema", F.coalesce(F.try_element_at(pairs, F.col("schema")), F.col("schema")))
+        for s in sources:
+            out = s.expired if out is None else out.unionByName(s.expired)
         return out
 
     def latest(self) -> DataFrame:

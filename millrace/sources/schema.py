@@ -21,6 +21,8 @@ class SchemaFrame:
 
     df: DataFrame
     names: tuple[str, ...]
+    #: What left the windows of the query that the frame comes from.
+    expired: DataFrame | None = None
 
     def flat(self, *fields: str) -> DataFrame:
         """Columns `<schema>_<field>`; by default every payload field of every schema."""
@@ -67,6 +69,7 @@ def wrap(
     """Tags the rows of `df` with the schema `name`; rows without an id are dropped.
 
     An `rx_meta` that the rows bring along must have the same label and version; its id and time win.
+    `order_by` gives the arrival order and should be unique: rows that tie count as one arrival.
     """
     if not isinstance(name, str) or not name:
         raise ValueError("a schema needs a name")
