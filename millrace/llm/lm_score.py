@@ -5,8 +5,10 @@ and the word. A token's probability is that of its class given the ids before it
 share of the class in the whole training corpus. The class comes from one head of masked
 attention with learned distances over the last CONTEXT to 2 * CONTEXT - 1 ids and the id just
 before: texts are cut into blocks of CONTEXT ids, every block is scored once, and its window
-overlaps the block before. A word's probability is interpolated with its share of the training
-corpus; the weight of the two is fitted with the network.
+overlaps the block before. So a word's own ids spell it with some probability. A word that the
+corpus has is also known as a whole: its class is that of its first id, and its probability that
+class's, given the ids before it, times the word's share of all training words of the class (and
+MIX times its share of all words). The two are interpolated with a fitted weight.
 
 Everything is learned from every training text (crc32 of the id modulo 7 is not 2) and grows
 with the corpus. Counts of words and of ids, and the sums of the ids around each id that make
@@ -53,6 +55,8 @@ _OTHERS = 3
 PASS_BATCH, PASS_RATE, HALF = 128, 6e-3, 1000
 #: Changes are added up in units of 1 / UNIT; log odds in steps of STEP up to FAR, beyond which they are certain.
 UNIT, STEP, FAR = 1 << 20, 0.01, 40.0
+#: Weight of a known word's share of all words, beside its share of its class.
+MIX = 0.02
 #: Logits up to here stay finite in float32 sums of exponentials.
 SAFE = 60.0
 
@@ -181,6 +185,19 @@ class Network:
 
     vectors = None
     tables, weight = None, 0.5
+    #: Log of the training words whose first id has a class, and of all training words.
+    begun, total = np.zeros(SINGLE + CLUSTERS), 0.0
+
+    def beginnings(self, counts: np.ndarray) -> None:
+        """`counts`: how many words and ends begin with each id."""
+        own = np.bincount(self.kind, weights=counts, minlength=SINGLE + CLUSTERS)
+        self.begun, self.total = np.log(np.maximum(own, 1)), float(np.log(max(1, counts.sum())))
+
+    def lift(self, logs: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log of how much likelier a known word is here than by its share of the corpus. `logs`: log probabilities of the ids, `starts`: first ids of words."""
+        first = ids[starts]
+        given = logs[starts] - self.share[first]
+        return np.logaddexp(np.log(MIX), np.log1p(-MIX) + given - self.begun[self.kind[first]] + self.total)
 
     def logs(self, texts: list[np.ndarray], step: int = 512) -> np.ndarray:
         """Log probability of every id of the texts, one after another."""
@@ -222,24 +239,25 @@ class Network:
         return out[target.ravel() != PAD]
 
     def score(self, ids: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each text, and the network's own of every word and end, one after another.
+        """Log probability of each text; and of every word and end, one after another, how much more its ids give it than its share would without the share itself.
 
         `sizes`: ids of each word; `shares`: log share of each word in the corpus, -inf if it is unknown or joined on later.
         """
-        word, share, count = self._by_word(ids, sizes, shares)
-        both = np.logaddexp(np.log(self.weight) + share, np.log1p(-self.weight) + word)
+        word, lift, share, count = self._by_word(ids, sizes, shares)
+        both = np.logaddexp(np.log(self.weight) + share + lift, np.log1p(-self.weight) + word)
         ends = np.cumsum(count)
-        return np.add.reduceat(both, ends - count), word
+        return np.add.reduceat(both, ends - count), word - lift
 
     def gain(self, total: int) -> str:
-        """SQL for what a word's corpus share adds to a text's log probability: `n` is its count, `each` its log probabilities by the network."""
+        """SQL for what a word's corpus share adds to a text's log probability: `n` is its count, `each` what `score` gives for it."""
         odds = f"({float(np.log(self.weight) - np.log1p(-self.weight) - np.log(total))!r}D + ln(n) - x)"
         return f"aggregate(each, 0D, (a, x) -> a + greatest({odds}, 0D) + log1p(exp(-abs({odds}))))"
 
     def _by_word(self, ids, sizes, shares):
         size = np.concatenate(sizes)
         starts = np.cumsum(size) - size
-        return np.add.reduceat(self.logs(ids), starts), np.concatenate(shares), np.array([len(x) for x in sizes])
+        logs = self.logs(ids)
+        return np.add.reduceat(logs, starts), self.lift(logs, np.concatenate(ids), starts), np.concatenate(shares), np.array([len(x) for x in sizes])
 
     def weigh(self, odds: np.ndarray, times: np.ndarray) -> None:
         """Fits the weight of the corpus shares by a few steps of expectation and maximisation. `odds`: log of share over probability."""
@@ -371,13 +389,13 @@ def _added(parts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(docs: DataFrame, path: str) -> DataFrame:
-    """kind 0: word hash and count; 1: id and count; 2: id and the sums around it; one row for each task and key, before they are summed up."""
+    """kind 0: word hash and count; 1: id and count; 2: id and the sums around it; 3: id and how many words begin with it; one row for each task and key, before they are summed up."""
 
     def run(batches):
         _, size = _words_table(path)
         net = Network(size)
         net.vectors = net.index()
-        ids, around = np.zeros(size, np.int64), np.zeros((size, WIDTH))
+        ids, around, first = np.zeros(size, np.int64), np.zeros((size, WIDTH)), np.zeros(size, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size_held = 0
 
@@ -388,8 +406,10 @@ def _counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             texts = _texts(batch)
             for some in _groups(texts):
-                got, words, _ = _ids_of([texts[i] for i in some], path)
-                ids += np.bincount(np.concatenate(got), minlength=size)
+                got, words, sizes = _ids_of([texts[i] for i in some], path)
+                flat, each = np.concatenate(got), np.concatenate(sizes)
+                ids += np.bincount(flat, minlength=size)
+                first += np.bincount(flat[np.cumsum(each) - each], minlength=size)
                 around += net.around(got)
                 back, found, _ = _text.distinct(np.concatenate(words))
                 held.append((found, np.bincount(back, minlength=len(found))))
@@ -402,6 +422,8 @@ def _counts(docs: DataFrame, path: str) -> DataFrame:
         some = np.flatnonzero(ids)
         yield from _part(1, some, ids[some])
         yield from _part(2, some, ids[some], around[some])
+        some = np.flatnonzero(first)
+        yield from _part(3, some, first[some])
 
     return docs.mapInArrow(run, PARTS)
 
@@ -475,7 +497,9 @@ def _pass(docs: DataFrame, net, common, path: str) -> DataFrame:
                     logs[at] = steady.step(seen[at], target[at], PASS_RATE / (1 + steady.done / HALF) ** 0.5).reshape(len(at), CONTEXT)
                 size = np.concatenate(sizes)
                 trained += int(size.sum())
-                word = np.add.reduceat(logs[target != PAD], np.cumsum(size) - size)
+                flat, starts = logs[target != PAD], np.cumsum(size) - size
+                # what lifts a share by the class before the network learned from it counts against the ids' own probability
+                word = np.add.reduceat(flat, starts) - own.lift(flat, np.concatenate(ids), starts)
                 share = np.concatenate([shares.logs(shares.of(w)) for w in words])
                 known = np.isfinite(share)
                 odds += np.bincount(_steps(share[known] - word[known]) + len(odds) // 2, minlength=len(odds))
@@ -499,15 +523,16 @@ def _steps(odds: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, counts: DataFrame, around: np.ndarray, shares: Shares, common, scratch: Scratch, path: str, id_col: str = "id") -> Network:
     """The network of all training texts, with the shares of the whole corpus."""
     _, size = _words_table(path)
-    every = np.zeros(size, np.int64)
-    for i, n in counts.filter("kind = 1").select("key", "n").collect():
-        every[i] = n
+    every, begun = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for kind, i, n in counts.filter("kind = 1 or kind = 3").select("kind", "key", "n").collect():
+        (every if kind == 1 else begun)[i] = n
     net = Network(size)
     if not every[END]:
         net.shares(every)
         return net
     net.group(every, around)
     net.shares(every)
+    net.beginnings(begun)
     ids = _ids_of(_start(docs, int(every[END]), id_col), path)[0]
     some = int(np.searchsorted(np.cumsum([len(x) for x in ids]), TOKENS))
     net.train(ids[: max(1, some)])
@@ -532,7 +557,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     train = docs.filter(crc_mod("id", FOLDS) != 2)
     parts = scratch.put(_counts(train, path), "parts")
-    counts = scratch.put(parts.filter("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.put(parts.filter("kind <> 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     around = _added(parts, _words_table(path)[1])[1]
     scratch.drop(parts)
     ends = counts.filter(f"kind = 1 and key = {END}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

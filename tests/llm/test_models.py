@@ -42,7 +42,7 @@ def test_language_held_out(spark):
 def test_identify_with_clashing_columns(spark, model):
     df = spark.createDataFrame([(1, "the dog", "x", 0.5, True), (2, None, "y", 0.1, False), (2, "le chat", "y", 0.1, False)], "doc_id long, text string, lang_pred string, score double, held_out boolean")
     made = language_id.identify(df, model, carry=tuple(df.columns)).collect()
-    assert [(r.doc_id, r.lang_pred, r._mr_lang) for r in sorted(made, key=lambda r: (r.doc_id, r.text or ""))] == [(1, "x", "en"), (2, "y", "und"), (2, "y", "fr")]
+    assert [(r.row.c0, r.row.c2, r.lang) for r in sorted(made, key=lambda r: (r.row.c0, r.row.c1 or ""))] == [(1, "x", "en"), (2, "y", "und"), (2, "y", "fr")]
 
 
 CLEAN = [f"a fine calm day number {'abcdefghij'[i % 10]} by the river" for i in range(240)]
@@ -147,6 +147,20 @@ def test_lm_learns_from_long_texts_and_late_ids(spark, monkeypatch):
     assert got[held[0]] > max(got[i] for i in held[1:6]) + 0.1
 
 
+def test_lm_scores_held_out_texts_better_than_their_word_counts(spark):
+    got = lm_score.query(spark, SF).toPandas()
+    known = got[got.held_out & (got.n_known == got.n_tokens)]
+    assert len(known) > 10 and known.score.sum() > known.base_score.sum()
+    assert (got.score < 0).all()
+
+
+def test_lm_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "d"), (5, None)], "doc_id long, text string")
+    got = lm_score.score_documents(df, P.path(byte_bpe.RANKS)).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 2, 4, 4] and len({r.score for r in got if r.doc_id == 1}) == 1
+    assert lm_score.score_documents(df.limit(0), P.path(byte_bpe.RANKS)).count() == 0
+
+
 def test_lm_sums_around_ids_do_not_depend_on_their_parts():
     net, draw = lm_score.Network(50), np.random.default_rng(1)
     texts = [draw.integers(3, 50, n) for n in (1, 2, 3, 4, 200)]
