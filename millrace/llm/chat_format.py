@@ -63,10 +63,32 @@ def parse(rendered: Column) -> Column:
     return F.when(F.get(parts, F.lit(0)) == "", turns)
 
 
+def loss_spans(rendered: Column, roles: tuple[str, ...]) -> Column:
+    """Where the texts of these roles stand in a rendered string: array of struct(start, length), in code points from 0."""
+    parts = F.split(rendered, r"<\|im_start\|>", -1)
+
+    def add(a: Column, part: Column) -> Column:
+        role = F.substring_index(part, "\n", 1)
+        begin = a.at + F.length(role) + (len(START) + 1)
+        span = F.struct(begin.alias("start"), (F.length(part) - F.length(role) - 2 - len(END)).alias("length"))
+        spans = F.when(unescape_role(role).isin(*roles), F.concat(a.spans, F.array(span))).otherwise(a.spans)
+        return F.struct((a.at + F.length(part) + len(START)).alias("at"), spans.alias("spans"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), none, add, lambda a: a.spans)
+
+
+def under(rendered: Column, spans: Column) -> Column:
+    """The unescaped texts under spans of a rendered string, one after another."""
+    return F.array_join(F.transform(spans, lambda s: unescape_text(F.substr(rendered, s.start + 1, s.length))), "")
+
+
 def format_chats(
-    chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
-    """One row per conversation: `id_col`, rendered string, the turns parsed from it, escape level 0 to 2.
+    """One row per conversation: `id_col`, rendered string, the turns parsed from it, escape level 0 to 2, and `loss`.
+
+    `loss` is the loss mask: spans of the rendered string that hold the texts of the roles to `learn`.
 
     Level 0 escapes nothing, level 1 the turns that do not survive a round trip of their own,
     level 2 every turn. A conversation that level 2 does not restore would be an error of the
@@ -90,7 +112,8 @@ def format_chats(
         one = one.withColumn("_got", parse(F.col("_out"))).withColumn("_same", F.col("_got").eqNullSafe(F.col("_src")))
     broken = F.raise_error(F.lit("a conversation is not restored from its rendered form")).cast(one.schema["_got"].dataType)
     turns = F.when(F.col("_same"), F.col("_got")).otherwise(broken)
-    return one.select(F.col("_id").alias(id_col), F.col("_out").alias("rendered"), turns.alias("turns"), F.col("_level").alias("escape_level"))
+    mask = loss_spans(F.col("_out"), learn)
+    return one.select(F.col("_id").alias(id_col), F.col("_out").alias("rendered"), turns.alias("turns"), F.col("_level").alias("escape_level"), mask.alias("loss"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +122,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", attack), (-1, 1, "assistant", attack)], chats.schema)
     made = format_chats(chats.unionAll(extra))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t.role == "assistant"), lambda t: t.text), "")
+    loss = under(F.col("rendered"), F.col("loss"))
     return made.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
