@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -40,9 +41,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of our own, on a single machine only."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not given and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not given:
         given = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         sc.setCheckpointDir(given)
@@ -111,3 +114,14 @@ def narrowed(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
     if keys.count() > MOST_BITS:
         return df.join(keys.select(*cols), list(cols), "left_semi")
     return mark(df, keys, "_in", *cols).filter("_in").select(*df.columns)
+
+
+def apart(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of `docs` whose `keys` (expressions by column of `gone`) are not in `gone`; null equals null. No name of `docs` can clash."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("row"), *(e.alias(f"own_{k}") for k, e in keys.items()))
+    same = None
+    for k in keys:
+        one = rows[f"own_{k}"].eqNullSafe(gone[k])
+        same = one if same is None else same & one
+    return rows.join(gone, same, "left_anti").select(*(F.col(f"row.{n}").alias(c) for c, n in names.items()))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import LOWER, UPPER, Scratch, table
+from millrace.llm._common import LOWER, UPPER, Scratch, apart, table
 
 WINDOW = 8
 SHINGLE = 3
@@ -101,7 +101,10 @@ def contamination(
     grams = wins.select("_wid", F.inline(F.coalesce(*by_size)))
 
     blocks = max(1, math.ceil(wins.count() / BLOCK_ROWS))
-    base = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    if blocks > 1:
+        # rows are numbered once, as every block reads them
+        base = scratch.put(base, "rows")
     split = _split(base, "_text")
     every = scratch.put(grams.select("_h").distinct(), "shingles")
     known = max(1, math.ceil(every.count() / BLOCK_ROWS))
@@ -152,10 +155,9 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bid"), "text_hash").distinct()
-    bad = Scratch(docs.sparkSession).put(bad, "contaminated")
-    same = F.col(id_col).eqNullSafe(F.col("_bid")) & (F.xxhash64(text_col) == F.col("text_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = contamination(docs, benchmark, id_col, text_col).filter("contaminated")
+    bad = Scratch(docs.sparkSession).put(bad.select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).distinct(), "contaminated")
+    return apart(docs, bad, {"id": F.col(f"`{id_col}`"), "hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

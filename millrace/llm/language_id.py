@@ -5,11 +5,12 @@ language. An unseen word scores by the longest known n-gram that begins at each
 characters, from LONGEST down to single characters; a word with no known character says nothing.
 A document's score is the share of its best language after the mean over its words.
 
-The model is fitted on about ROWS documents of each language (documented bound); every text is
-scored whole.
+The model is fitted on about ROWS documents of each language, of at most CHARS code points
+(documented bounds of a classifier's labelled rows); of them it keeps the WORDS commonest words
+and the GRAMS commonest n-grams of each length that occur LEAST times. Every text is scored whole.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; with no labelled row at
-all every text is `und`; languages that tie go to the first in alphabetical order; every row of
+all every text is `und`; an empty table gives an empty result; languages that tie go to the first in alphabetical order; every row of
 the input gives one row; other columns are ignored.
 """
 
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """`id_col`, held_out, lang_pred, score; or with `carry` those columns, _mr_lang and _mr_score."""
+    """`id_col`, held_out, lang_pred, score; or with `carry` a struct `row` of those columns (c0, c1, ...), `lang` and `certainty`."""
     spark = docs.sparkSession
     importable(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -178,14 +179,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = ", ".join([*kinds, f"_id {docs.schema[id_col].dataType.simpleString()}", "held_out boolean", "lang_pred string", "score double"])
     made = source.mapInArrow(run, schema)
     if carry:
-        return made.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), F.col("lang_pred").alias("_mr_lang"), F.col("score").alias("_mr_score"))
+        return made.select(F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row"), F.col("lang_pred").alias("lang"), F.col("score").alias("certainty"))
     return made.withColumnRenamed("_id", id_col)
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language is known with a score of REJECT_BELOW at least, with all their columns."""
     found = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col, tuple(docs.columns))
-    return found.filter((F.col("_mr_lang") != UNKNOWN) & (F.col("_mr_score") >= REJECT_BELOW)).select(*docs.columns)
+    known = found.filter((F.col("lang") != UNKNOWN) & (F.col("certainty") >= REJECT_BELOW))
+    return known.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

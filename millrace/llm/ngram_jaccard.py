@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _text
-from millrace.llm._common import Scratch, importable, narrowed, table
+from millrace.llm._common import Scratch, apart, importable, narrowed, table
 from millrace.llm._components import components
 
 WORDS, NUM, DEN = 4, 85, 100
@@ -413,9 +413,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the least id of each class, with all columns; rows that share that id all stay."""
-    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_nid"), "component_id")
-    gone = Scratch(docs.sparkSession).put(found.filter("component_id <> _nid").select("_nid").distinct(), "near-copies")
-    return docs.join(gone, docs[id_col] == gone["_nid"], "left_anti")
+    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), "component_id")
+    gone = Scratch(docs.sparkSession).put(found.filter("component_id <> id").select("id").distinct(), "near-copies")
+    return apart(docs, gone, {"id": F.col(f"`{id_col}`").cast("long")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
