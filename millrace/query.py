@@ -402,6 +402,12 @@ class Query:
 
     # sinks
 
+    def stream(self, delay: str = "0 seconds") -> DataFrame:
+        """The query over streaming sources as one streaming DataFrame; `delay` is how late records may be. See millrace.streaming.plan."""
+        from millrace.streaming.plan import compile_stream
+
+        return compile_stream(self, delay)
+
     def subscribe(self, on_next: Callable, on_completed: Callable | None = None) -> None:
         """Calls on_next with every row, a partition at a time."""
         for r in self.df.toLocalIterator(prefetchPartitions=True):
