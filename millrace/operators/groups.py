@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,8 @@ def numeric(df: DataFrame, path: str) -> Column:
 
 def group(
     df: DataFrame, names: tuple[str, ...], key: Column, window: W.Window, aggregates: Aggregates, name: str | None, enrich: bool
-) -> tuple[DataFrame, DataFrame, str]:
-    """Aggregate or enriched rows, expired group members, and the group's name. `df` has `_at` and `_t`.
+) -> tuple[DataFrame, Callable[[], DataFrame], str]:
+    """Aggregate or enriched rows, what gives the expired group members, and the group's name. `df` has `_at` and `_t`.
 
     Aggregate rows have `_group_key`, `_group_name`, `_count_all`, the aggregates by flat name,
     `<schema>__count_id` by default, and `window_start`/`window_end` for time windows; enriched
@@ -102,7 +104,27 @@ def group(
     out = made.select(*keep, "_group_key", "_group_name", *cols, "_at", F.col("_t"))
     if enrich:
         out = out.withColumn(name, F.struct(F.col("_group_key").alias("key"), *cols))
-    return out, _expired(keyed, names, window), name
+    return out, lambda: _expired(keyed, names, window), name
+
+
+def totals(df: DataFrame, names: tuple[str, ...], key: Column, aggregates: Aggregates, name: str | None) -> DataFrame | None:
+    """The last state of groups that keep everything: an aggregate that is combined before the shuffle. None if it holds folds over distinct values."""
+    cols = {"_rows": F.count("*")}
+    if aggregates.row_count and not aggregates.count:
+        cols |= {f"{n}__count_id": F.count(F.col(f"`{n}`.rx_meta.id")) for n in names}
+    made = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+    per_schema: dict[str, list[str]] = {}
+    for kind, agg in aggregates.each():
+        if agg.distinct is not None:
+            return None
+        cols[agg.name(kind)] = made[kind](get(agg.path) if kind in ("count", "min", "max") else numeric(df, agg.path))
+        if kind == "count" and "." in agg.path:
+            per_schema.setdefault(agg.path.split(".")[0], []).append(agg.name(kind))
+    out = df.withColumn("_group_key", key).filter(F.col("_group_key").isNotNull()).groupBy("_group_key").agg(*(c.alias(n) for n, c in cols.items()))
+    sums = {f"_count_{schema}": sum((F.col(f"`{c}`") for c in counted), F.lit(0)) for schema, counted in per_schema.items()}
+    every = F.col("_rows") if aggregates.row_count else F.lit(0).cast("long")
+    head = [F.col("_group_key"), F.lit(name or (f"_groupBy:{names[0]}" if names else "_groupBy")).alias("_group_name"), every.alias("_count_all")]
+    return out.select(*head, *(F.col(f"`{c}`") for c in cols if c != "_rows"), *(c.alias(n) for n, c in sums.items()))
 
 
 def _expired(keyed: DataFrame, names: tuple[str, ...], window: W.Window) -> DataFrame:

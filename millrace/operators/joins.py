@@ -15,6 +15,7 @@ rows have arrivals of their own, whose order is that in which a replay would emi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -129,8 +130,8 @@ def _unpack(df: DataFrame, left: list[str], right: list[str], order: str) -> Dat
     )
 
 
-def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time", cuts: list | None = None, held: list | None = None) -> tuple[DataFrame, DataFrame]:
-    """Joined rows (schema columns of both sides, `_at`) and expired records, for one of KINDS.
+def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time", cuts: list | None = None, held: list | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """Joined rows (schema columns of both sides, `_at`) and what gives the expired records, for one of KINDS.
 
     `cuts` part the arrival order into ranges for windows that look at it (see ranks.bounds);
     frames that were persisted for them are added to `held`.
@@ -171,7 +172,7 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
             some = r.join(l, on, "left_anti")
             rows = some if rows is None else rows.unionByName(some, allowMissingColumns=True)
         rows = _fill(rows, l, r, names, order)
-    return rows, _expired(left, right, l, r, on)
+    return rows, lambda: _expired(left, right, l, r, on)
 
 
 def _fill(rows: DataFrame, l: DataFrame, r: DataFrame, names, order: str) -> DataFrame:

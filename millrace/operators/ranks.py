@@ -19,15 +19,22 @@ def number(df: DataFrame) -> Column:
     return F.col("_at")[0] if df.schema["_at"].dataType.typeName() == "array" else F.col("_at")
 
 
-def bounds(df: DataFrame, order: str) -> list:
-    """Values of `order` that part the rows into ranges of about the same size; more rows have more ranges."""
-    shape = df.agg(F.count("*").alias("n"), F.percentile_approx(order, F.array(*(F.lit(i / 1024) for i in range(1, 1024))), F.lit(10_000)).alias("b")).first()
+def bounds(df: DataFrame, order: str, ranges: int | None = None) -> list:
+    """Values of `order` that part the rows into ranges of about the same size; unless `ranges` is given, more rows have more of them."""
+
+    def parted(ranges: int) -> str:
+        return f"percentile_approx(`{order}`, array({', '.join(f'{i / ranges!r}D' for i in range(1, ranges))}), 100000)"
+
+    if ranges is not None and ranges < 2:
+        return []
+    shape = df.selectExpr("count(*) AS n", f"{parted(ranges or 64)} AS b").first()
+    found = shape["b"] or []
+    if ranges is not None:
+        return sorted(set(found))
     ranges = min(MOST, max(FEWEST, -(-shape["n"] // RANGE_ROWS)))
-    if ranges <= 1024:
-        found = shape["b"] or []
-        return sorted({found[i * 1024 // ranges - 1] for i in range(1, ranges)} if found else ())
-    cuts = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.select(F.percentile_approx(order, F.array(*map(F.lit, cuts)), F.lit(100_000)).alias("b")).first()["b"] or []))
+    if ranges > 64:
+        return sorted(set(df.selectExpr(f"{parted(ranges)} AS b").first()["b"]))
+    return sorted({found[i * 64 // ranges - 1] for i in range(1, ranges)} if found else ())
 
 
 def ranged(df: DataFrame, order: Column, cuts: list) -> DataFrame:

@@ -8,6 +8,7 @@ times and arrival numbers travel to that task, never the payload, and its state
 from __future__ import annotations
 
 from collections import OrderedDict, deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -130,8 +131,8 @@ def _replayed(batches, make):
         yield drained()
 
 
-def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame, DataFrame]:
-    """(l_at, r_at) of the matches, and the expired records.
+def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(l_at, r_at) of the matches, and what gives the expired records.
 
     Partitions are sorted by run (key, or nothing where a count window counts all keys) and arrival
     and streamed, so that a worker holds the records in the windows only.
@@ -164,13 +165,17 @@ def replay_join(left, right, gc: str, order: str, cuts: list) -> tuple[DataFrame
     kinds = "what int, l_at array<long>, r_at array<long>, side int, reason string, matched boolean"
     made = both.mapInPandas(lambda batches: _replayed(batches, make), kinds)
     pairs = made.filter("what = 0").select("l_at", "r_at")
-    out = None
-    for n, s, at in ((0, left, "l_at"), (1, right, "r_at")):
-        gone = made.filter(f"what = 1 and side = {n}").select(F.col(at).alias("_gone"), "reason", "matched")
-        rows = s.df.withColumn("_own", s.arrival()).join(gone, F.col("_own") == F.col("_gone"))
-        rows = rows.select(*packet(0, s.schema, F.col("_k"), F.col("reason"), F.col("matched"), F.col(f"`{s.schema}`")))
-        out = rows if out is None else out.unionByName(rows)
-    return pairs, out
+
+    def expired() -> DataFrame:
+        out = None
+        for n, s, at in ((0, left, "l_at"), (1, right, "r_at")):
+            gone = made.filter(f"what = 1 and side = {n}").select(F.col(at).alias("_gone"), "reason", "matched")
+            rows = s.df.withColumn("_own", s.arrival()).join(gone, F.col("_own") == F.col("_gone"))
+            rows = rows.select(*packet(0, s.schema, F.col("_k"), F.col("reason"), F.col("matched"), F.col(f"`{s.schema}`")))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    return pairs, expired
 
 
 def distinct_replay(df: DataFrame, window) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import weakref
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from functools import cached_property
@@ -14,7 +15,7 @@ from millrace.functions.paths import Path, column, expression, get, row
 from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.operators.distinct import distinct
-from millrace.operators.groups import group, nested
+from millrace.operators.groups import group, nested, totals
 from millrace.operators.ranks import bounds
 from millrace.operators.ranks import number as arrival_number
 from millrace.plans.aggregates import Aggregates
@@ -40,7 +41,7 @@ def _source(given, label: str | None = None, **options) -> SchemaFrame | Query:
             given = given.withColumn(options.setdefault("time_field", "source_time"), F.lit(reset) if not hasattr(reset, "cast") else reset)
         return wrap(label, given, **options)
     if isinstance(given, Query):
-        expired = given.expired()
+        expired = given.expired
         given = given.reingest(label, **{k: v for k, v in options.items() if k in ("id_field", "id_selector")})
     elif not isinstance(given, SchemaFrame):
         raise TypeError(f"expected a DataFrame, SchemaFrame or Query, not {type(given).__name__}")
@@ -64,6 +65,11 @@ def dropping(df: DataFrame, condition) -> DataFrame:
         conf.set("spark.sql.ansi.enabled", strict)
 
 
+def _unpersist(frames: list[DataFrame]) -> None:
+    for df in frames:
+        df.unpersist()
+
+
 class Query:
     def __init__(self, plan: Plan):
         self.plan = plan
@@ -71,8 +77,7 @@ class Query:
 
     def release(self) -> None:
         """Frees what the query keeps on the executors; it is computed again if the result is asked for again."""
-        for df in self._held:
-            df.unpersist()
+        _unpersist(self._held)
 
     # sources
 
@@ -281,9 +286,9 @@ class Query:
                 cuts = self._cuts if self.plan.order == "time" and self._looks_at_order(step) else []
                 rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts, self._held if number > 1 else None)
                 if self.plan.hook:
-                    for name, df in (("left", made[0].df), ("right", made[1].df), ("joined", rows), ("expired", expired)):
+                    for name, df in (("left", made[0].df), ("right", made[1].df), ("joined", rows), ("expired", expired())):
                         self.plan.hook(name, number, df)
-                gone.append(expired.withColumn("step", F.lit(number)))
+                gone.append((expired, number))
                 out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         names = (*left.names, *right.names)
         return SchemaFrame(out.select(*(f"`{n}`" for n in names), ARRIVAL), names)
@@ -296,7 +301,7 @@ class Query:
                 key = get(f"{d.schema}.{d.by}") if isinstance(d.by, str) else expression(d.by(row[d.schema]) if callable(d.by) else d.by)
                 df = frame.df.withColumns({"_k": key, "_t": self._time(frame, d.schema, d.window)})
                 rows, expired = distinct(df, d.schema, d.window)
-                gone.append(expired.withColumn("step", F.lit(number)))
+                gone.append((expired, number))
                 frame = SchemaFrame(rows.select(*(f"`{n}`" for n in frame.names), ARRIVAL), frame.names)
         return frame
 
@@ -314,6 +319,7 @@ class Query:
             frame = rename(frame, p.selection)
         df, names, group_name = frame.df, frame.names, None
         if p.group_key is not None:
+            self._ungrouped = (df, names)
             root = names[0]
             when = F.col(f"`{root}`.{META}.source_time")
             w = p.group_window
@@ -322,7 +328,7 @@ class Query:
             elif w is None and p.group_window_set is False:
                 w = W.Interval(0)
             df, expired, group_name = group(df.withColumn("_t", when), names, expression(p.group_key), w, p.aggregates, p.group_name, p.enrich)
-            gone.append(expired.withColumn("step", F.lit(len(p.joins) + 1)))
+            gone.append((expired, len(p.joins) + 1))
             names = names if p.enrich else ()
             if p.having is not None:
                 df = dropping(df, p.having)
@@ -341,14 +347,20 @@ class Query:
     @property
     def df(self) -> DataFrame:
         """The result; structs by schema, or the aggregate columns of a group."""
-        return self.frame.df.drop(ARRIVAL, "_t")
+        return self._freeing(self.frame.df.drop(ARRIVAL, "_t"))
+
+    def _freeing(self, df: DataFrame) -> DataFrame:
+        """What the query keeps on the executors goes when its result does; what is asked for later is computed again."""
+        if self._held:
+            weakref.finalize(df, _unpersist, list(self._held)).atexit = False
+        return df
 
     @property
     def observations(self) -> dict[str, Observation]:
         return self._built[2]
 
     def flat(self, *fields: str) -> DataFrame:
-        return self.frame.flat(*fields)
+        return self._freeing(self.frame.flat(*fields))
 
     def expired(self) -> DataFrame:
         """Every record that left a window, why, and whether it had matched. Of join records the selected schemas only.
@@ -356,7 +368,8 @@ class Query:
         What left the windows of queries that are sources here comes along as it is.
         """
         out = None
-        for part in self._built[1]:
+        for made, number in self._built[1]:
+            part = made().withColumn("step", F.lit(number))
             out = part if out is None else out.unionByName(part)
         sources = [s for s in (self.plan.source, *(j.source for j in self.plan.joins)) if s.expired is not None]
         if out is None and not sources:
@@ -366,13 +379,19 @@ class Query:
             kept = out.filter((F.col("origin") != "join") | F.col("schema").isin(list(self.plan.selection)))
             out = kept.withColumn("schema", F.coalesce(F.try_element_at(pairs, F.col("schema")), F.col("schema")))
         for s in sources:
-            out = s.expired if out is None else out.unionByName(s.expired)
+            out = s.expired() if out is None else out.unionByName(s.expired())
         return out
 
     def latest(self) -> DataFrame:
-        """The last emission of each group."""
-        if self.plan.group_key is None:
+        """The last emission of each group. Of groups without a window that is a plain aggregate."""
+        p = self.plan
+        if p.group_key is None:
             raise ValueError("latest needs group_by")
+        if p.group_window is None and p.group_window_set and not (p.enrich or p.final_where or p.taps) and p.having is None:
+            _ = self._built
+            made = totals(*self._ungrouped, expression(p.group_key), p.aggregates, p.group_name)
+            if made is not None:
+                return made
         df = self.frame.df
         cols = [c for c in df.columns if c not in (ARRIVAL, "_t", "_group_key")]
         last = df.groupBy("_group_key").agg(F.max_by(F.struct(*(f"`{c}`" for c in cols)), ARRIVAL).alias("_s"))

@@ -44,7 +44,7 @@ def write_replay(df: DataFrame, order: str, folder: str, files: int = 4) -> None
     """Writes the rows as files that a stream reads in order: one range after another, as streams go by the files' age."""
     from millrace.operators.ranks import bounds, ranged
 
-    dealt = ranged(df, order, bounds(df, order, files))
+    dealt = ranged(df, F.col(order), bounds(df, order, files))
     for n in range(files):
         dealt.filter(F.col("_range") == n).drop("_range").coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
 
@@ -59,6 +59,7 @@ def stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None
 
 def throttled(df: DataFrame, order: str, per_tick: int) -> DataFrame:
     """The tick in which each row is drained, `per_tick` rows at a time."""
-    from pyspark.sql import Window
+    from millrace.operators.ranks import bounds, ranged, running
 
-    return df.withColumn("tick", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / per_tick).cast("long"))
+    placed = running(ranged(df, F.col(order), bounds(df, order)), [order], {"_place": F.lit(1)})
+    return placed.withColumn("tick", F.floor((F.col("_place") - 1) / per_tick).cast("long")).drop("_place", "_range")

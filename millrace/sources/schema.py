@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +21,8 @@ class SchemaFrame:
 
     df: DataFrame
     names: tuple[str, ...]
-    #: What left the windows of the query that the frame comes from.
-    expired: DataFrame | None = None
+    #: Gives what left the windows of the query that the frame comes from.
+    expired: Callable[[], DataFrame] | None = None
 
     def flat(self, *fields: str) -> DataFrame:
         """Columns `<schema>_<field>`; by default every payload field of every schema."""
