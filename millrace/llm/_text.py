@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 
-CHUNK = 1_000_000
+CHUNK = 300_000
 OTHER, LETTER, NUMBER, SPACE, ODD = 0, 1, 2, 3, 4
 #: The code points that \s stands for in the libraries' patterns.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -84,6 +84,30 @@ def sliced(batches, rows: int = 1000):
             yield batch.slice(k, rows)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker that is used again would keep all that it ever held."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """`run` over Arrow batches, which gives freed memory back after every batch that it makes and at its end."""
+
+    def own(batches):
+        for made in run(batches):
+            yield made
+            release()
+        release()
+
+    return own
+
+
 def points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """The joined text, its code points, and the offsets of the texts (one more than texts)."""
     joined = "".join(texts)
@@ -221,7 +245,7 @@ class Index:
         if 2 * self.n > len(self.keys):
             kept = np.flatnonzero(self.values >= 0)
             keys, values = self.keys[kept], self.values[kept]
-            self._room(int(2 * self.n).bit_length() + 1)
+            self._room(int(2 * self.n).bit_length())
             self._put(keys, values)
         self._put(hashes, np.arange(base, self.n, dtype=np.int32))
 

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._common import importable, table
-from millrace.llm._text import PieceTable, encode_texts
+from millrace.llm._text import PieceTable, encode_texts, frugal
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MEMO = 1_000_000
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,7 +218,7 @@ def encode_documents(
             )
 
     schema = f"`{id_col}` {kind}, n_tokens long, {names[0]} {types}, {names[1]} {types}"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(frugal(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)))
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, names, strict=True)]
     schema = ", ".join([*kinds, f"_id {docs.schema[id_col].dataType.simpleString()}", "held_out boolean", "lang_pred string", "score double"])
-    made = source.mapInArrow(run, schema)
+    made = source.mapInArrow(_text.frugal(run), schema)
     if carry:
         return made.select(F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row"), F.col("lang_pred").alias("lang"), F.col("score").alias("certainty"))
     return made.withColumnRenamed("_id", id_col)

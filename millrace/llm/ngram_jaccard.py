@@ -180,7 +180,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 zero = pa.array([0], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k], pa.int64()), zero, zero, zero, pa.array([part.astype("<u4").tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, h1 long, h2 long, cells binary")
+    return docs.mapInArrow(_text.frugal(run), "kind int, id long, n long, h1 long, h2 long, cells binary")
 
 
 def _order(profile: DataFrame) -> Order:
@@ -223,7 +223,7 @@ def _prefixes(docs: DataFrame, order, size: int, num: int, den: int) -> DataFram
             for a in range(0, len(rows[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000], pa.int64()) for x in rows], ["tok", "id", "n", "k", "l"])
 
-    return docs.mapInArrow(run, "tok long, id long, n long, k long, l long")
+    return docs.mapInArrow(_text.frugal(run), "tok long, id long, n long, k long, l long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> DataFrame:
@@ -234,7 +234,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> Da
             made = [shingles(words, size).astype("<u8").tobytes() for words in word_hashes(_texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "set"])
 
-    return scratch.put(narrowed(docs, wanted, "id").mapInArrow(run, "id long, set binary"), "sets")
+    return scratch.put(narrowed(docs, wanted, "id").mapInArrow(_text.frugal(run), "id long, set binary"), "sets")
 
 
 def _only(sets: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
@@ -265,7 +265,7 @@ def _common(pairs: DataFrame, kinds: str, order, num: int, den: int) -> DataFram
             made = [pa.array(both, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(least, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *made], [*keep, "both", "own", "lo"])
 
-    return pairs.mapInArrow(run, kinds + ", both long, own array<long>, lo long")
+    return pairs.mapInArrow(_text.frugal(run), kinds + ", both long, own array<long>, lo long")
 
 
 def _compare_blocks(few: DataFrame, all_: DataFrame, num: int, den: int) -> DataFrame:
@@ -388,7 +388,7 @@ def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 good.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(_text.frugal(run), "a long, b long")
 
 
 def near_duplicates(

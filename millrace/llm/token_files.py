@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._common import Scratch, importable, table
-from millrace.llm._text import PieceTable, encode_texts, mix
+from millrace.llm._text import PieceTable, encode_texts, frugal, mix
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_IDS = 1_000_000
@@ -202,7 +202,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"))
     order = [F.col("_key").asc_nulls_first(), F.xxhash64("_text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, BLOCK).write.parquet(out)
+    dealt.mapInArrow(frugal(run), BLOCK).write.parquet(out)
 
 
 def get(spark: SparkSession, path: str, key: int | None) -> list[np.ndarray]:

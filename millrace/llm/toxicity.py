@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(_text.frugal(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
