@@ -226,41 +226,59 @@ def _prefixes(docs: DataFrame, order, size: int, num: int, den: int) -> DataFram
     return docs.mapInArrow(_text.frugal(run), "tok long, id long, n long, k long, l long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """(id, set) of the wanted ids, and perhaps of some others."""
+def _sets_of(texts: list, size: int) -> list[np.ndarray]:
+    """The set of every text; equal ones, such as a centre's, are hashed once."""
+    at: dict[str, int] = {}
+    back = [at.setdefault(x or "", len(at)) for x in texts]
+    made = [shingles(words, size) for words in word_hashes(list(at))]
+    return [made[k] for k in back]
 
-    def run(batches):
-        for batch in _text.sliced(batches):
-            made = [shingles(words, size).astype("<u8").tobytes() for words in word_hashes(_texts(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "set"])
 
-    return scratch.put(narrowed(docs, wanted, "id").mapInArrow(_text.frugal(run), "id long, set binary"), "sets")
+def _kept(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, text) of the wanted ids, and perhaps of some others.
 
+    Texts are what joins shuffle, as they compress and 64-bit shingles do not; tasks make the sets of what they get.
+    """
+    return scratch.put(narrowed(docs, wanted, "id"), "texts")
 
-def _only(sets: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """The sets of the ids in a column of `wanted`, and a few others: what is not needed is not shuffled."""
-    return narrowed(sets, wanted.select(F.col(name).alias("id")), "id").select("id", "set")
 
+def _only(texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The texts of the ids in a column of `wanted`, and a few others: what is not needed is not shuffled."""
+    return narrowed(texts, wanted.select(F.col(name).alias("id")), "id").select("id", "text")
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, x: str, y: str) -> DataFrame:
-    left = _only(sets, pairs, x).select(F.col("id").alias(x), F.col("set").alias("_sx"))
-    right = _only(sets, pairs, y).select(F.col("id").alias(y), F.col("set").alias("_sy"))
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, x: str, y: str) -> DataFrame:
+    left = _only(texts, pairs, x).select(F.col("id").alias(x), F.col("text").alias("_tx"))
+    right = _only(texts, pairs, y).select(F.col("id").alias(y), F.col("text").alias("_ty"))
     return pairs.join(left, x).join(right, y)
 
 
-def _common(pairs: DataFrame, kinds: str, order, num: int, den: int) -> DataFrame:
-    """Adds `both` (shingles in common) to pairs with sets, the prefix `own` of those of x that y lacks, and `lo`, how many of it are needed."""
+def _with_set(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(fam, id, set) of the rows (fam, id)."""
+
+    def run(batches):
+        for batch in _text.sliced(batches):
+            made = [x.astype("<u8").tobytes() for x in _sets_of(batch.column(2).to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["fam", "id", "set"])
+
+    found = rows.join(_only(texts, rows, "id"), "id").select("fam", "id", "text")
+    return found.mapInArrow(_text.frugal(run), "fam long, id long, set binary")
+
+
+def _common(pairs: DataFrame, kinds: str, order, size: int, num: int, den: int) -> DataFrame:
+    """Adds `both` (shingles in common) to pairs with texts, the prefix `own` of those of x that y lacks, and `lo`, how many of it are needed."""
 
     def run(batches):
         for batch in _text.sliced(batches):
-            sx, sy = batch.column(batch.schema.get_field_index("_sx")), batch.column(batch.schema.get_field_index("_sy"))
+            tx, ty = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_tx", "_ty"))
+            made = _sets_of(tx + ty, size)
             both, own, least = [], [], []
-            for a, b in zip(sx, sy, strict=True):
-                n, some, l = outside(np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8"), order.value, num, den)
+            for a, b in zip(made[: len(tx)], made[len(tx) :], strict=True):
+                n, some, l = outside(a, b, order.value, num, den)
                 both.append(n)
                 own.append(some.astype(np.int64))
                 least.append(l)
-            keep = [c for c in batch.schema.names if c not in ("_sx", "_sy")]
+            keep = [c for c in batch.schema.names if c not in ("_tx", "_ty")]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             made = [pa.array(both, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(least, pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *made], [*keep, "both", "own", "lo"])
@@ -331,10 +349,10 @@ def _links(docs: DataFrame, order, reps: DataFrame, scratch: Scratch, size: int,
     scratch.drop(weight, centres)
 
     wanted = scratch.put(family.select("id").unionAll(family.select(F.col("fam").alias("id")).distinct()), "wanted")
-    sets = _sets(docs, wanted, scratch, size)
+    texts = _kept(docs, wanted, scratch)
     names = ("fam", "id", "n", "np", "costly")
-    pairs = _with_sets(family, sets, "id", "fam").select(*names, "_sx", "_sy")
-    delta = _common(pairs, ", ".join(f"{c} long" for c in names), order, num, den)
+    pairs = _with_texts(family, texts, "id", "fam").select(*names, "_tx", "_ty")
+    delta = _common(pairs, ", ".join(f"{c} long" for c in names), order, size, num, den)
     linked = _linked(F.col("both"), F.col("n"), F.col("np"), num, den)
     far = ~_linked(F.col("both"), F.col("n"), F.col("np"), 2 * num - den, den)
     delta = delta.filter(~far | (F.col("costly") == 1)).select("fam", "id", "n", linked.alias("linked"), "own", "lo")
@@ -352,9 +370,9 @@ def _links(docs: DataFrame, order, reps: DataFrame, scratch: Scratch, size: int,
     members = delta.select("fam", "id", "linked").join(loose.select(F.col("id").alias("_l")), F.col("id") == F.col("_l"), "left")
     members = members.filter("linked or _l is not null").select("fam", "id").join(loose.select("fam").distinct(), "fam", "left_semi")
     members = scratch.put(members, "members")
-    with_set = lambda df, name: scratch.put(df.join(_only(sets, df, "id"), "id").select("fam", "id", "set"), name)
+    with_set = lambda df, name: scratch.put(_with_set(df, texts, size), name)
     inside = scratch.put(_compare_blocks(with_set(loose, "loose-sets"), with_set(members, "member-sets"), num, den), "inside")
-    scratch.drop(sets, twice)
+    scratch.drop(texts, twice)
 
     group = scratch.put(delta.select("id", "fam", F.when(F.col("linked"), F.col("fam")).otherwise(F.col("id")).alias("grp")), "groups")
     named = live.join(group, "id", "left").select(
@@ -372,18 +390,18 @@ def _links(docs: DataFrame, order, reps: DataFrame, scratch: Scratch, size: int,
     across = across.groupBy(*ends).agg(F.count("*").alias("_c")).filter("_c >= l")
     across = scratch.put(across.select("a", "b"), "across")
     wanted = scratch.put(across.select(F.col("a").alias("id")).unionAll(across.select(F.col("b").alias("id"))).distinct(), "ends")
-    pairs = _with_sets(across, _sets(docs, wanted, scratch, size), "a", "b").select("a", "b", "_sx", "_sy")
-    return scratch.put(stars.unionAll(inside).unionAll(_verified(pairs, num, den)), "verified")
+    pairs = _with_texts(across, _kept(docs, wanted, scratch), "a", "b").select("a", "b", "_tx", "_ty")
+    return scratch.put(stars.unionAll(inside).unionAll(_verified(pairs, size, num, den)), "verified")
 
 
-def _verified(pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
     def run(batches):
         for batch in _text.sliced(batches):
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            good, tx = [], batch.column(2).to_pylist()
+            made = _sets_of(tx + batch.column(3).to_pylist(), size)
+            for x, y in zip(made[: len(tx)], made[len(tx) :], strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
