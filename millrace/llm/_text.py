@@ -298,6 +298,12 @@ class PieceTable:
         self.used += total
         self.index.add(hashes)
 
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and how many each has."""
+        made = self.encode(pieces)
+        lengths = np.array([len(x) for x in made], np.int64)
+        return np.fromiter((i for x in made for i in x), np.uint32, int(lengths.sum())), lengths
+
     def slots(self, hashes: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places in `offset` and `length` of distinct pieces, which are spans of `joined`."""
         if len(self.index) + len(hashes) > self.limit and len(self.index):
@@ -314,9 +320,7 @@ class PieceTable:
                     lengths = self.last.length[at]
                     self._add(hashes[new], gather(self.last.pool, self.last.offset[at], lengths)[0], lengths)
             else:
-                made = self.encode([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-                lengths = np.array([len(x) for x in made], np.int64)
-                self._add(hashes[new], np.fromiter((i for x in made for i in x), np.uint32, int(lengths.sum())), lengths)
+                self._add(hashes[new], *self.encoded([joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]))
             found = self.index.find(hashes)
         return found
 

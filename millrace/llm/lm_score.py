@@ -59,6 +59,31 @@ UNIT, STEP, FAR = 1 << 20, 0.01, 40.0
 MIX = 0.02
 #: Logits up to here stay finite in float32 sums of exponentials.
 SAFE = 60.0
+#: Code points of a word up to which the library encodes it; longer ones go through merges in linear time.
+LONG = 1000
+
+
+class Words(_text.PieceTable):
+    """Ids of words met so far; `library` has the ranks shifted past END, BOS and PAD, `whole` encodes a long word in linear time."""
+
+    def __init__(self, library, whole, size_of: np.ndarray, limit: int = 400_000):
+        self.library, self.whole, self.size_of = library, whole, size_of
+        super().__init__(self.apart, limit)
+
+    def apart(self, words: list[str]) -> list[list[int]]:
+        return [self.library.encode_ordinary(" " + w) if len(w) <= LONG else self.whole(" " + w) for w in words]
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words without white space of the pattern's are encoded in one call: each piece of theirs begins where a word does or within it."""
+        joined = " " + " ".join(words)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        length = np.array([len(w) + 1 for w in words], np.int64)
+        if length.max() > LONG or int((_text.classes()[codes] == _text.SPACE).sum()) != len(words):
+            return super().encoded(words)
+        ids = self.library.encode_to_numpy(joined)
+        size = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+        last = np.searchsorted(np.cumsum(self.size_of[ids]), size[np.cumsum(length) - 1])
+        return ids, np.diff(last, prepend=-1)
 
 
 @lru_cache(2)
@@ -66,25 +91,45 @@ def _words_table(path: str):
     """Ids of words by the word's hash; ids are shifted past END, BOS and PAD."""
     import public_tokenizers
     import regex
+    import tiktoken
 
-    merges = byte_bpe.Merges(byte_bpe.read_ranks(path))
+    ranks = byte_bpe.read_ranks(path)
+    shifted = {t: i + _OTHERS for t, i in ranks.items()}
+    library = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shifted, special_tokens={})
+    merges = lru_cache(1)(lambda: byte_bpe.Merges(ranks))
     pattern = regex.compile(public_tokenizers.PATTERN)
+    size = max(shifted.values()) + 1
+    size_of = np.zeros(size, np.int64)
+    size_of[list(shifted.values())] = [len(t) for t in shifted]
 
-    def encode(words: list[str]) -> list[list[int]]:
-        made = (pattern.findall(" " + w.encode().lower().decode()) for w in words)
-        return [[i + _OTHERS for x in pieces for i in merges.encode(x.encode())] for pieces in made]
+    def whole(word: str) -> list[int]:
+        return [i + _OTHERS for x in pattern.findall(word) for i in merges().encode(x.encode())]
 
-    return _text.PieceTable(encode), max(merges.tokens) + 1 + _OTHERS
+    return Words(library, whole, size_of), size
 
 
 def _spans(parts: list[str]):
-    """Joined text, word starts and ends, word hashes, and the place of each text's first word."""
+    """Joined text with A-Z lower-cased, word starts and ends, word hashes, and the place of each text's first word."""
     joined, codes, bounds = _text.points(parts)
     low = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
     white = (codes == 32) | ((codes >= 9) & (codes <= 13))
     start, end = _text.runs_of(white.astype(np.uint8), bounds, 0)
     hashes = _text.Spans(low).of(start, end) if len(start) else np.zeros(0, np.uint64)
-    return joined, start, end, hashes, np.searchsorted(start, bounds)
+    return joined.encode().lower().decode(), start, end, hashes, np.searchsorted(start, bounds)
+
+
+def _cells(rows: np.ndarray) -> np.ndarray:
+    """Places of the cells of these rows in a flat table of WIDTH columns."""
+    return (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+
+
+def _attend(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Makes logits (with the mask) their exponentials in place; their sums. The maximum of a row is only taken off where they could overflow or vanish."""
+    s[x[:, 0] == PAD, :, : CONTEXT - 1] = -1e9  # before a text; what fills up its end is only seen from there
+    if s.max() > SAFE or s.diagonal(CONTEXT - 1, 1, 2).min() < -SAFE:
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    return (s.reshape(-1, s.shape[2]) @ np.ones(s.shape[2], np.float32)).reshape(*s.shape[:2], 1)
 
 
 class Network:
@@ -104,6 +149,11 @@ class Network:
         self.far = np.clip(i - j, 0, 2 * CONTEXT - 1)
         self.mask = np.where(j > i, np.float32(-1e9), np.float32(0))
 
+    def __setstate__(self, state: dict) -> None:
+        """Unpickled arrays have types of their own, for which `np.add.at` and others take slow ways; a copy has numpy's."""
+        plain = lambda x: x.astype(x.dtype.type) if isinstance(x, np.ndarray) else x
+        self.__dict__ = {k: plain(x) for k, x in state.items()} | {"w": {k: plain(x) for k, x in state["w"].items()}}
+
     def classes(self, counts: np.ndarray, texts: list[np.ndarray]) -> None:
         """The commonest ids have a class each; the others are grouped by the ids around them."""
         self.group(counts, self.around(texts))
@@ -121,15 +171,16 @@ class Network:
         for ids in texts:
             flat[at : at + len(ids)] = ids
             at += len(ids) + 3
-        found, near = np.unique(flat, return_inverse=True)
-        own = (self.index() if self.vectors is None else self.vectors)[flat]
-        total = np.zeros_like(own)
-        for shift in (1, 2, 3):
-            total[shift:] += own[:-shift]
-            total[:-shift] += own[shift:]
         out = np.zeros((self.size, WIDTH))
-        for c in range(WIDTH):
-            out[found, c] = np.bincount(near, weights=total[:, c])
+        vectors = self.index() if self.vectors is None else self.vectors
+        for a in range(0, len(flat) - 6, 4096):
+            # the three before and after each of some ids; cells of a table in one row, as numpy adds those up fast
+            part = flat[a : a + 4096 + 6]
+            own = vectors.take(part, axis=0)
+            total = own[:-6] + own[6:]
+            for shift in (1, 2, 4, 5):
+                total += own[shift : shift - 6]
+            np.add.at(out.ravel(), _cells(part[3:-3]), total.ravel().astype(float))
         out[PAD] = 0
         return out
 
@@ -158,6 +209,12 @@ class Network:
 
     def blocks(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs and targets of every block, and the text of each; BOS comes before a text, PAD fills up."""
+        grid, own, rows = self.grid(texts)
+        seen = np.concatenate((grid[own - 1], grid[own, :-1]), axis=1)
+        return seen, grid[own], np.repeat(np.arange(len(texts)), rows)
+
+    def grid(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of CONTEXT ids, of which one that ends in BOS comes before each text; places of the others, and how many each text has."""
         rows = np.array([-(-len(x) // CONTEXT) for x in texts], np.int64)
         flat = np.full((int(rows.sum()) + len(texts)) * CONTEXT, PAD, np.int64)
         at = 0
@@ -169,9 +226,7 @@ class Network:
         grid = flat.reshape(-1, CONTEXT)
         head = np.zeros(len(grid), bool)
         head[np.cumsum(rows + 1) - rows - 1] = True
-        own = np.flatnonzero(~head)
-        seen = np.concatenate((grid[own - 1], grid[own, :-1]), axis=1)
-        return seen, grid[own], np.repeat(np.arange(len(texts)), rows)
+        return grid, np.flatnonzero(~head), rows
 
     def train(self, texts: list[np.ndarray]) -> None:
         seen, target, _ = self.blocks(texts)
@@ -199,44 +254,46 @@ class Network:
         given = logs[starts] - self.share[first]
         return np.logaddexp(np.log(MIX), np.log1p(-MIX) + given - self.begun[self.kind[first]] + self.total)
 
-    def logs(self, texts: list[np.ndarray], step: int = 512) -> np.ndarray:
+    def highest(self) -> float:
+        """What no class's logit exceeds, as tanh is within 1; below SAFE no maximum is needed by row."""
+        return float((np.abs(self.w["c"]).sum(axis=0) + np.abs(self.w["b"])).max())
+
+    def logs(self, texts: list[np.ndarray], step: int = 128) -> np.ndarray:
         """Log probability of every id of the texts, one after another."""
         if self.tables is None:
-            self.tables = {k: np.ascontiguousarray(self.embed @ self.w[k], np.float32) for k in "qkvu"}
-            self.tables["q"] = self.tables["q"] / np.float32(np.sqrt(WIDTH))
-            # tanh is within 1, so this bounds every class's logit; below SAFE no maximum is needed by row
-            self.high = float((np.abs(self.w["c"]).sum(axis=0) + np.abs(self.w["b"])).max())
-            self.ones = np.ones(SINGLE + CLUSTERS, np.float32)
+            self.tables = np.concatenate([self.w["q"] / np.float32(np.sqrt(WIDTH)), *(self.w[k] for k in "kvu")], axis=1).astype(np.float32)
+            self.high = self.highest()
+            self.odds = np.exp(self.w["b"]) if self.high <= SAFE else np.ones(SINGLE + CLUSTERS, np.float32)
             self.shift = (self.w["r"][self.far] + self.mask).astype(np.float32)
-        q, k, v, u = (self.tables[c] for c in "qkvu")
-        seen, target, _ = self.blocks(texts)
-        out = np.zeros(target.size)
+        grid, own, _ = self.grid(texts)
+        out = np.zeros(grid.shape)
         n = CONTEXT - 1
-        for a in range(0, len(seen), step):
-            x, y = seen[a : a + step], target[a : a + step]
-            last = x[:, n:]
-            s = q[last] @ k[x].transpose(0, 2, 1)
+        for a in range(1, len(grid), step):
+            # every block with the row before it: windows overlap in memory, so an id's vectors are made once
+            some = grid[a - 1 : a + step]
+            rows, y = len(some) - 1, some[1:].ravel()
+            made = self.embed.take(some.ravel(), axis=0) @ self.tables
+            window = lambda c, first, size: np.lib.stride_tricks.as_strided(
+                made[first:, c * WIDTH :], (rows, size, WIDTH), (CONTEXT * made.strides[0], *made.strides), writeable=False
+            )
+            s = window(0, n, CONTEXT) @ np.ascontiguousarray(window(1, 0, CONTEXT + n).transpose(0, 2, 1))
             s += self.shift
-            pad = x == PAD
-            if pad.any():
-                s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-            s -= s.max(axis=2, keepdims=True)
-            np.exp(s, out=s)
-            z = s @ v[x]
-            z /= s.sum(axis=2, keepdims=True)
-            z += u[last]
+            total = _attend(s, some[:-1])
+            z = s @ window(2, 0, CONTEXT + n)
+            z /= total
+            z += window(3, n, CONTEXT)
             np.tanh(z, out=z)
             z = z.reshape(-1, WIDTH) @ self.w["c"]
-            z += self.w["b"]
-            flat = y.ravel()
-            hit = z[np.arange(len(z)), self.kind[flat]]
+            at, kind = np.arange(len(z)), self.kind[y]
             if self.high > SAFE:
-                top = z.max(axis=1, keepdims=True)
-                z -= top
-                hit = hit - top[:, 0]
+                z += self.w["b"]
+                z -= z.max(axis=1, keepdims=True)
+                hit = z[at, kind]
+            else:
+                hit = z[at, kind] + self.w["b"][kind]
             np.exp(z, out=z)
-            out[a * CONTEXT : a * CONTEXT + len(flat)] = hit - np.log(z @ self.ones) + self.share[flat]
-        return out[target.ravel() != PAD]
+            out[a : a + rows] = (hit - np.log(z @ self.odds) + self.share[y]).reshape(rows, CONTEXT)
+        return out[own][grid[own] != PAD]
 
     def score(self, ids: list[np.ndarray], sizes: list[np.ndarray], shares: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text; and of every word and end, one after another, how much more its ids give it than its share would without the share itself.
@@ -287,67 +344,89 @@ class Steps:
     def __init__(self, net: Network):
         self.net, self.done = net, 0
         net.tables = None
-        self.first, self.second = ({k: np.zeros_like(p) for k, p in {"e": net.embed, **net.w}.items()} for _ in range(2))
+        self.moments, self.place = np.zeros((net.size, 2 * WIDTH), np.float32), np.zeros(net.size, np.int64)
+        self.cells = np.zeros((0, WIDTH), np.int64)
+        self.mean, self.square = (np.zeros(sum(p.size for p in net.w.values()), np.float32) for _ in range(2))
         self.seen = np.zeros(net.size, np.int64)
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
         """One step on blocks; the log probabilities of the targets before it."""
         net, w, n = self.net, self.net.w, CONTEXT - 1
         scale = np.float32(1 / np.sqrt(WIDTH))
-        e = net.embed[x]
+        e = net.embed.take(x, axis=0)
         eq = np.ascontiguousarray(e[:, n:])
         flat = lambda t: t.reshape(-1, t.shape[-1])
         by = lambda t, m: (flat(t) @ m).reshape(*t.shape[:-1], m.shape[1])
-        q, k, v, u = by(eq, w["q"] * scale), by(e, w["k"]), by(e, w["v"]), by(eq, w["u"])
-        s = q @ k.transpose(0, 2, 1)
+        wkv, wqu = np.concatenate((w["k"], w["v"]), axis=1), np.concatenate((w["q"] * scale, w["u"]), axis=1)
+        kv, qu = by(e, wkv), by(eq, wqu)
+        k, v, q, u = kv[..., :WIDTH], kv[..., WIDTH:], qu[..., :WIDTH], qu[..., WIDTH:]
+        turned = lambda t: np.ascontiguousarray(t.transpose(0, 2, 1))
+        s = q @ turned(k)
         s += (w["r"][net.far] + net.mask).astype(np.float32)
-        pad = x == PAD
-        if pad.any():
-            s += np.where(pad, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        p = np.exp(s, out=s)
-        p /= p.sum(axis=2, keepdims=True)
-        z = p @ v
-        z += u
+        total = _attend(s, x)
+        p = np.divide(s, total, out=s)
+        mean = p @ v
+        z = mean + u
         np.tanh(z, out=z)
-        d = flat(z) @ w["c"]
-        d += w["b"]
-        d -= d.max(axis=1, keepdims=True)
         kind, at = net.kind[y.ravel()], np.arange(y.size)
-        hit = d[at, kind]
+        d = flat(z) @ w["c"]
+        if net.highest() > SAFE:
+            d += w["b"]
+            d -= d.max(axis=1, keepdims=True)
+            odds, hit = np.ones_like(w["b"]), d[at, kind]
+        else:
+            odds, hit = np.exp(w["b"]), d[at, kind] + w["b"][kind]
         np.exp(d, out=d)
-        total = d.sum(axis=1)
+        total = d @ odds
         real = (y != PAD).ravel()
-        d *= (real / (total * max(1, real.sum()))).astype(np.float32)[:, None]
-        d[at, kind] -= (real / max(1, real.sum())).astype(np.float32)
-        dz = (d @ w["c"].T).reshape(z.shape) * (1 - z * z)
-        dp, dv = dz @ v.transpose(0, 2, 1), p.transpose(0, 2, 1) @ dz
-        dp -= (dp * p).sum(axis=2, keepdims=True)
-        ds = np.multiply(dp, p, out=dp)
-        dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q
-        de = by(dk, w["k"].T) + by(dv, w["v"].T)
-        de[:, n:] += by(dq, w["q"].T) + by(dz, w["u"].T)
+        # the gradient of the logits but for factors by row and by class, which are cheaper to put on their products
+        d[at, kind] -= total / odds[kind]
+        by_row = (real / (total * max(1, real.sum()))).astype(np.float32)[:, None]
+        dz = (d @ (w["c"] * odds).T * by_row).reshape(z.shape) * (1 - z * z)
+        dkv, dqu = np.empty_like(kv), np.empty_like(qu)
+        ds = dz @ turned(v)
+        ds -= (flat(dz * mean) @ np.ones(WIDTH, np.float32)).reshape(*dz.shape[:2], 1)
+        ds *= p
+        np.matmul(ds, k, out=dqu[..., :WIDTH])
+        dqu[..., WIDTH:] = dz
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
+        np.matmul(p.transpose(0, 2, 1), dz, out=dkv[..., WIDTH:])
+        de = by(dkv, wkv.T)
+        de[:, n:] += by(dqu, wqu.T)
+        # many products of some blocks each are faster than one of tall matrices
+        some = 4 if len(x) % 4 == 0 else 1
+        sums = lambda a, b: (np.swapaxes(a.reshape(len(x) // some, -1, a.shape[-1]), 1, 2) @ b.reshape(len(x) // some, -1, b.shape[-1])).sum(axis=0)
+        own, last = sums(e, dkv), sums(eq, dqu)
         grads = {
-            "q": flat(eq).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "u": flat(eq).T @ flat(dz),
-            "c": flat(z).T @ d, "b": d.sum(0), "r": np.bincount(net.far.ravel(), weights=ds.sum(0).ravel(), minlength=2 * CONTEXT),
+            "q": last[:, :WIDTH] * scale, "k": own[:, :WIDTH], "v": own[:, WIDTH:], "u": last[:, WIDTH:],
+            "c": sums(flat(z) * by_row, d) * odds, "b": by_row[:, 0] @ d * odds, "r": np.bincount(net.far.ravel(), weights=ds.sum(0).ravel(), minlength=2 * CONTEXT),
         }
-        back, found, _ = _text.distinct(x.ravel())
-        rows = np.empty((len(found), WIDTH), np.float32)
-        de = flat(de)
-        for c in range(WIDTH):
-            rows[:, c] = np.bincount(back, weights=de[:, c], minlength=len(found))
+        ids = x.ravel()
+        self.place[ids] = np.arange(len(ids))
+        found = ids[self.place[ids] == np.arange(len(ids))]
+        self.place[found] = np.arange(len(found))
+        back = self.place[ids]
+        rows = np.zeros((len(found), WIDTH), np.float32)
+        if len(self.cells) < len(found):
+            self.cells = _cells(np.arange(2 * len(found))).reshape(-1, WIDTH)
+        np.add.at(rows.ravel(), self.cells.take(back, axis=0).ravel(), de.ravel())
         self.seen[found] += np.bincount(back)
         self.done += 1
         rate *= np.sqrt(1 - 0.99**self.done) / (1 - 0.9**self.done)
-        for name, g in grads.items():
-            self.first[name] += 0.1 * (g - self.first[name])
-            self.second[name] += 0.01 * (g * g - self.second[name])
-            w[name] -= (rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
-        m1, m2 = self.first["e"][found], self.second["e"][found]
+        g = np.concatenate([grads[name].ravel() for name in w]).astype(np.float32)
+        self.mean += np.float32(0.1) * (g - self.mean)
+        self.square += np.float32(0.01) * (g * g - self.square)
+        change = np.float32(rate) * self.mean / (np.sqrt(self.square) + np.float32(1e-8))
+        at = 0
+        for p in w.values():
+            p -= change[at : at + p.size].reshape(p.shape)
+            at += p.size
+        both = self.moments.take(found, axis=0)
+        m1, m2 = both[:, :WIDTH], both[:, WIDTH:]
         m1 += np.float32(0.1) * (rows - m1)
         m2 += np.float32(0.01) * (rows * rows - m2)
-        self.first["e"][found], self.second["e"][found] = m1, m2
-        net.embed[found] -= np.float32(rate) * m1 / (np.sqrt(m2) + np.float32(1e-8))
+        self.moments[found] = both
+        net.embed[found] = net.embed.take(found, axis=0) - np.float32(rate) * m1 / (np.sqrt(m2) + np.float32(1e-8))
         return hit - np.log(total) + net.share[y.ravel()]
 
 
@@ -439,8 +518,13 @@ class Shares:
         """Count of each word, 0 if it is not among them."""
         if not len(self.keys):
             return np.zeros(len(words))
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, self.counts[at], 0)
+        back, found, _ = _text.distinct(words)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return np.where(self.keys[at] == found, self.counts[at], 0)[back]
+
+    def each(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """`of` the words of each text."""
+        return np.split(self.of(np.concatenate(texts)), np.cumsum([len(x) for x in texts])[:-1])
 
     def logs(self, counts: np.ndarray) -> np.ndarray:
         """Log shares of a text's words and of its end."""
@@ -500,7 +584,7 @@ def _pass(docs: DataFrame, net, common, path: str) -> DataFrame:
                 flat, starts = logs[target != PAD], np.cumsum(size) - size
                 # what lifts a share by the class before the network learned from it counts against the ids' own probability
                 word = np.add.reduceat(flat, starts) - own.lift(flat, np.concatenate(ids), starts)
-                share = np.concatenate([shares.logs(shares.of(w)) for w in words])
+                share = np.concatenate([shares.logs(c) for c in shares.each(words)])
                 known = np.isfinite(share)
                 odds += np.bincount(_steps(share[known] - word[known]) + len(odds) // 2, minlength=len(odds))
                 if not known.all():
@@ -586,7 +670,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
             rest[1] = batch.column(0).type
             for some in _groups(texts):
                 ids, words, sizes = _ids_of([texts[j] for j in some], path)
-                counted = [shares.of(w) for w in words]
+                counted = shares.each(words)
                 score, logs = net.value.score(ids, sizes, [shares.logs(c) for c in counted])
                 tokens, seen, sums, rare, at = [], [], [], [], 0
                 for k, (w, c) in enumerate(zip(words, counted, strict=True)):

@@ -2,11 +2,13 @@
 
 import collections
 import math
+import pickle
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 
 from millrace.llm import byte_bpe, language_id, lm_score, ngram_jaccard, quality, toxicity
 from millrace.llm._components import components
@@ -190,6 +192,45 @@ def test_lm_scores_every_id_once():
     assert np.allclose(together[:-10], net.logs(changed)[:-10], atol=1e-5)
 
 
+def test_lm_words_are_encoded_together_as_apart(monkeypatch):
+    path = P.path(byte_bpe.RANKS)
+    lm_score._words_table.cache_clear()
+    table, size = lm_score._words_table(path)
+    merges, pattern = byte_bpe.Merges(byte_bpe.read_ranks(path)), regex.compile(P.PATTERN)
+    apart = lambda w: [i + 3 for x in pattern.findall(" " + w) for i in merges.encode(x.encode())]
+    plain = ["can't", "\x1c", "\x00y", "日本語", "🎉🎉x", "e\u0301", "i\u0307stanbul", "'s", "\u0378z", "…!!", "12three", "\u200bq", "x" * 900]
+    for words in (plain, plain + ["a\u00a0b", "\u00a0", "x\u00a0", "\x85"], plain + ["abc" * 1000], plain[:1]):
+        ids, lengths = table.encoded(words)
+        expected = [apart(w) for w in words]
+        assert lengths.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x] and ids.max() < size
+
+    def slow(self, piece):
+        raise AssertionError("words of usual length go through the library")
+
+    monkeypatch.setattr(byte_bpe.Merges, "encode", slow)
+    ids, words, sizes = lm_score._ids_of(["Never met words\tfollow", "", "À \u00a0 b"], path)
+    assert [len(x) for x in sizes] == [5, 1, 4] and all(x[-1] == 0 for x in ids) and list(map(len, words)) == [4, 0, 3]
+
+
+def test_lm_steps_are_the_same_with_and_without_maxima(monkeypatch):
+    draw = np.random.default_rng(7)
+    texts = [draw.integers(3, 60, n) for n in (1, 15, 16, 17, 50, 700)]
+    counts, made = np.bincount(np.concatenate(texts), minlength=60), []
+    for safe in (lm_score.SAFE, -1.0):
+        monkeypatch.setattr(lm_score, "SAFE", safe)
+        net = lm_score.Network(60)
+        net.classes(counts, texts)
+        net.shares(counts)
+        net.train(texts)
+        made.append(net.logs(texts))
+    assert np.allclose(made[0], made[1], atol=1e-4)
+
+
+def test_lm_network_of_a_task_has_plain_types():
+    net = pickle.loads(pickle.dumps(lm_score.Network(50)))
+    assert all(x.dtype is np.dtype(x.dtype.type) for x in (net.embed, *net.w.values()))
+
+
 def test_lm_gradient_lowers_loss(monkeypatch):
     monkeypatch.setattr(lm_score, "EPOCHS", 80)
     net = lm_score.Network(40)
