@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import Scratch, mark, table
+from millrace.llm._common import Scratch, mark, narrowed, table
 
 PREFIX_CHARS = 256
 
@@ -30,26 +30,8 @@ def exact_dedup(
     """
     carry = carry or {}
     scratch = Scratch(docs.sparkSession)
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    keys = {"_len": F.octet_length(body), "_head": F.xxhash64(F.substring(body, 1, PREFIX_CHARS))}
-
-    sized = docs.select(*(c.alias(n) for n, c in keys.items()))
-    level = scratch.put(sized.groupBy("_len", "_head").agg(F.count("*").alias("_n")), "sizes")
-    same_length = level.groupBy("_len").agg(F.sum("_n").alias("_of_length")).filter("_of_length > 1")
-    same_head = level.filter("_n > 1").join(same_length, "_len", "left_semi")
-    survivors = scratch.put(same_head.select("_len", "_head"), "survivors")
-
-    read = docs.select(
-        F.col(id_col).alias("_id"),
-        F.monotonically_increasing_id().alias("_row"),
-        body.alias("_body"),
-        *(c.alias(n) for n, c in keys.items()),
-        *(c.alias(n) for n, c in carry.items()),
-    )
     full = F.when(F.col("_again"), F.sha2(F.col("_body"), 256))
-    rows = scratch.put(
-        mark(read, survivors, "_again", "_len", "_head").select("_id", "_row", "_len", full.alias("_full"), *carry), "rows"
-    )
+    rows = scratch.put(_marked(docs, scratch, id_col, text_col, carry).select("_id", "_row", "_len", full.alias("_full"), *carry), "rows")
     copies = rows.filter(F.col("_full").isNotNull())
     groups = scratch.put(
         copies.groupBy("_len", "_full").agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count("*").alias("_size")), "groups"
@@ -67,11 +49,46 @@ def exact_dedup(
     return alone.unionAll(grouped)
 
 
+def _marked(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, carry: dict[str, Column]) -> DataFrame:
+    """`_id`, `_row`, `_body`, `_len`, `_head`, the `carry` expressions and `_again`: whether length and prefix may occur elsewhere.
+
+    `_again` follows from the content alone, so it is the same whenever the rows are read.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {"_len": F.octet_length(body), "_head": F.xxhash64(F.substring(body, 1, PREFIX_CHARS))}
+
+    sized = docs.select(*(c.alias(n) for n, c in keys.items()))
+    level = scratch.put(sized.groupBy("_len", "_head").agg(F.count("*").alias("_n")), "sizes")
+    same_length = level.groupBy("_len").agg(F.sum("_n").alias("_of_length")).filter("_of_length > 1")
+    same_head = level.filter("_n > 1").join(same_length, "_len", "left_semi")
+    survivors = scratch.put(same_head.select("_len", "_head"), "survivors")
+
+    read = docs.select(
+        F.col(id_col).alias("_id"),
+        F.monotonically_increasing_id().alias("_row"),
+        body.alias("_body"),
+        *(c.alias(n) for n, c in keys.items()),
+        *(c.alias(n) for n, c in carry.items()),
+    )
+    return mark(read, survivors, "_again", "_len", "_head")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns.
+
+    Only rows whose length and prefix occur elsewhere are written out, and of these only the ones that stay are
+    shuffled; the others come from `docs` itself, which is read again with the result and must give the same rows.
+    """
     names = {f"_keep_{i}": c for i, c in enumerate(docs.columns)}
-    found = exact_dedup(docs, id_col, text_col, {n: F.col(f"`{c}`") for n, c in names.items()})
-    return found.filter("kept").select(*(F.col(n).alias(c) for n, c in names.items()))
+    scratch = Scratch(docs.sparkSession)
+    marked = _marked(docs, scratch, id_col, text_col, {n: F.col(f"`{c}`") for n, c in names.items()})
+    full = F.sha2(F.col("_body"), 256).alias("_full")
+    copies = scratch.put(marked.filter("_again").select("_id", "_row", "_len", full, *names), "copies")
+    top = copies.groupBy("_len", "_full").agg(F.max(F.struct("_id", "_row")).alias("_top"))
+    stays = scratch.put(top.select(F.col("_top._row").alias("_row")), "stays")
+    kept = narrowed(copies, stays, "_row").join(stays, "_row", "left_semi")
+    found = marked.filter("not _again").select(*names).unionAll(kept.select(*names))
+    return found.select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,23 @@ def test_exact_dedup(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 7, 8, 9]
 
 
+def test_dropping_copies_writes_only_rows_that_may_have_some(spark, monkeypatch):
+    written, put = [], exact_dedup.Scratch.put
+
+    def seen(self, df, name):
+        made = put(self, df, name)
+        if any(c.startswith("_keep_") for c in made.columns):
+            written.append(made.count())
+        return made
+
+    monkeypatch.setattr(exact_dedup.Scratch, "put", seen)
+    rows = [(i, "x" * i) for i in range(1, 300)] + [(1000, "x" * 7), (1001, "x" * 7), (None, "x" * 7), (1002, "y" * 9), (1002, "y" * 9)]
+    kept = exact_dedup.drop_copies(docs(spark, *rows))
+    expected = sorted([*(i for i in range(1, 300) if i != 7), 1001, 1002])
+    assert sorted(r.doc_id for r in kept.collect()) == expected
+    assert sum(written) <= 20
+
+
 def test_exact_dedup_empty_table(spark):
     assert exact_dedup.exact_dedup(docs(spark)).count() == 0
 
