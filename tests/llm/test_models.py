@@ -212,6 +212,54 @@ def test_lm_words_are_encoded_together_as_apart(monkeypatch):
     assert [len(x) for x in sizes] == [5, 1, 4] and all(x[-1] == 0 for x in ids) and list(map(len, words)) == [4, 0, 3]
 
 
+def test_lm_encodes_each_text_once(spark):
+    rows = [(i, f"the cat sat on mat{i % 5} by rare{i}") for i in range(50)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(len(x))
+            yield x
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score_documents(df.mapInPandas(counted, df.schema), P.path(byte_bpe.RANKS)).collect()
+    assert len(got) == len(rows) and read.value <= 2 * len(rows)  # and once for the texts that the weights start from
+
+
+def test_lm_texts_come_back_as_encoded():
+    path = P.path(byte_bpe.RANKS)
+    library = lm_score._words_table(path)[0].library
+    texts = ["short One", "", "some words \u2003of a long\ttext " * 20_000, "é é last", "x" * 2000]
+    made = lm_score.Encoded.read(lm_score.Encoded.of(texts, path).blobs())
+    ids, size = made.texts()
+    words = [t.encode().lower().decode().replace("\t", " ").split(" ") for t in texts]
+    words = [[w for w in x if w] for x in words]
+    known = {w: library.encode_ordinary(" " + w) for x in words for w in x}
+    for got, expected in zip(ids, words, strict=True):
+        assert got.tolist() == [i for w in expected for i in known[w]] + [lm_score.END]
+    assert made.count.tolist() == [len(x) + 1 for x in words] and len(size) == made.count.sum()
+    assert len(set(made.hashes().tolist())) == len(known) == len(made.size) - 1
+
+
+def test_lm_scores_are_those_of_the_formula():
+    net, draw = lm_score.Network(60), np.random.default_rng(4)
+    net.shares(draw.integers(1, 9, 60))
+    net.w = {k: draw.normal(0, 0.5, x.shape).astype(np.float32) for k, x in net.w.items()}
+    w, wide = {k: x.astype(float) for k, x in net.w.items()}, lm_score.CONTEXT
+    texts = [draw.integers(3, 60, n) for n in (1, 16, 50)]
+    expected = []
+    for text in texts:
+        e = net.embed[np.append(lm_score.BOS, text)].astype(float)
+        for i, y in enumerate(text):
+            j = np.arange(max(0, i // wide * wide - wide + 1), i + 1)
+            odds = np.exp((e[i] @ w["q"]) @ (e[j] @ w["k"]).T / np.sqrt(lm_score.WIDTH) + w["r"][i - j])
+            z = np.exp(np.tanh(odds / odds.sum() @ (e[j] @ w["v"]) + e[i] @ w["u"]) @ w["c"] + w["b"])
+            expected.append(np.log(z[net.kind[y]] / z.sum()) + net.share[y])
+    assert np.allclose(net.logs(texts), expected, atol=1e-4)
+    seen, target, _ = net.blocks(texts)
+    assert np.allclose(lm_score.Steps(net).step(seen, target, 1e-9)[(target != lm_score.PAD).ravel()], expected, atol=1e-4)
+
+
 def test_lm_steps_are_the_same_with_and_without_maxima(monkeypatch):
     draw = np.random.default_rng(7)
     texts = [draw.integers(3, 60, n) for n in (1, 15, 16, 17, 50, 700)]
