@@ -3,8 +3,10 @@
 Two records match if they have the same key and the earlier is still held when the later
 arrives. Count, interval, predicate and per-key bounds, one at a time, have closed forms: a
 condition on ranks or times that goes into an ordinary join, so that Catalyst picks the strategy
-and adaptive execution splits skewed keys. Bounds that act on one another (several at once, or
-one-shot records) run through the sequential engine.
+and adaptive execution splits skewed keys. So has a join of one-shot records on both sides without
+any other bound: only one side of a key ever waits, so that the n-th record goes with the n-th.
+Bounds that act on one another (several at once, or other one-shot records) run through the
+sequential engine.
 
 Rows with a null key take no part, not even as unmatched rows.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import windows as W
@@ -143,7 +145,10 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
     left, right = (replace(s, df=s.df.filter(F.col("_k").isNotNull())) for s in (left, right))
     matches, lone_left, lone_right = KINDS[kind]
     names = [[c for c in s.df.columns if not c.startswith("_")] for s in (left, right)]
-    if max(left.bounds(), right.bounds()) > 1:
+    once = left.one_shot and right.one_shot and left.bounds() == right.bounds() == 2
+    if once and left.df.schema["_k"].dataType != right.df.schema["_k"].dataType:
+        left, right = (replace(s, df=s.df.withColumn("_k", F.col("_k").cast("string"))) for s in (left, right))
+    if max(left.bounds(), right.bounds()) > 1 and not once:
         pairs, expired = replay_join(left, right, gc, order, cuts)
         l, r = _annotated(*(replace(s, window=None, buffer=None, one_shot=False) for s in (left, right)), "strict", order, cuts)
         same = pairs.join(l, pairs["l_at"] == l["_l_at"]).join(r, pairs["r_at"] == r["_r_at"]).drop("l_at", "r_at")
@@ -159,7 +164,10 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
     l, r = _annotated(left, right, gc, order, cuts, held)
     first = F.col("_l_at") <= F.col("_r_at") if order == "time" else F.lit(True)
     on = F.col("_l_k") == F.col("_r_k")
-    if left.bounds() or right.bounds():
+    if once:
+        l, r = (df.withColumn(f"{p}_nth", F.row_number().over(Window.partitionBy(f"{p}_k").orderBy(f"{p}_at"))) for p, df in (("_l", l), ("_r", r)))
+        on = on & (F.col("_l_nth") == F.col("_r_nth"))
+    elif left.bounds() or right.bounds():
         on = on & F.when(first, _hold(left, "_l", "_r", gc)).otherwise(_hold(right, "_r", "_l", gc))
     if kind in ("inner", "left", "right", "outer"):
         joined = l.join(r, on, {"outer": "full"}.get(kind, kind))
@@ -203,6 +211,13 @@ def _expired(left: Side, right: Side, l: DataFrame, r: DataFrame, on: Column) ->
     tops = l.agg(F.max("_l_t").alias("a"), F.count("*").alias("nl")).join(F.broadcast(r.agg(F.max("_r_t").alias("b"), F.count("*").alias("nr"))))
     tops = tops.select(F.greatest("a", "b").alias("_tmax"), "nl", "nr")
     for p, side, df, other in (("_l", left, l, r), ("_r", right, r, l)):
+        if side.one_shot:
+            q = "_r" if p == "_l" else "_l"
+            held = df.join(other.select(f"{q}_k", f"{q}_nth"), on, "left")
+            hit = F.col(f"{q}_nth").isNotNull()
+            rows = held.select(*packet(0, side.schema, F.col(f"{p}_k"), F.when(hit, W.MATCHED_ONCE).otherwise(W.COMPLETED), hit, F.col(f"{p}_p.`{side.schema}`")))
+            out = rows if out is None else out.unionByName(rows)
+            continue
         n = F.col("nl") if p == "_l" else F.col("nr")
         reason = F.lit(W.COMPLETED)
         held = df.join(F.broadcast(tops))
