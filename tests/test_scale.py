@@ -20,3 +20,11 @@ def test_one_shot_on_both_sides_is_an_ordinary_join(spark):
     made = one_shots(spark, "outer").df.selectExpr("left.id AS a", "right.id AS b")
     assert "MapInPandas" not in plan(made)
     assert sorted(map(tuple, made.collect()), key=str) == sorted([(1, 1), (2, 4), (3, 2), (4, None), (5, None), (None, 3), (None, 5)], key=str)
+
+
+def test_what_one_shot_joins_held_is_told_without_a_replay(spark):
+    gone = one_shots(spark).expired()
+    assert "MapInPandas" not in plan(gone)
+    met, left = ("distinct_match", True), ("completed", False)
+    expected = {("left", i, *(met if i < 4 else left)) for i in range(1, 6)} | {("right", i, *(left if i in (3, 5) else met)) for i in range(1, 6)}
+    assert {(r.schema, int(r.id), r.reason, r.matched) for r in gone.collect()} == expected and gone.count() == 10
