@@ -18,10 +18,10 @@ from millrace.operators import windows as W
 
 
 class _Held:
-    __slots__ = ("at", "key", "keep", "matched", "side", "t", "gone")
+    __slots__ = ("at", "key", "keep", "matched", "side", "t")
 
     def __init__(self, side, key, at, t, keep):
-        self.side, self.key, self.at, self.t, self.keep, self.matched, self.gone = side, key, at, t, keep, False, False
+        self.side, self.key, self.at, self.t, self.keep, self.matched = side, key, at, t, keep, False
 
 
 class JoinReplay:
@@ -30,16 +30,21 @@ class JoinReplay:
     def __init__(self, windows, buffers, shots, lazy: bool):
         self.windows, self.buffers, self.shots, self.lazy = windows, buffers, shots, lazy
         self.by_key: tuple[dict, dict] = ({}, {})
-        self.in_order: tuple[deque, deque] = (deque(), deque())
-        self.held = [0, 0]
+        # what is held, as far as a window looks at it; a record goes from here when it leaves, for whatever reason
+        self.in_order: tuple[OrderedDict, OrderedDict] = (OrderedDict(), OrderedDict())
         self.pairs: list[tuple] = []
         self.out: list[tuple] = []
 
     def _leave(self, x: _Held, reason: str) -> None:
-        x.gone = True
-        self.held[x.side] -= 1
+        self.in_order[x.side].pop(x, None)
         own = self.by_key[x.side][x.key]
-        own.remove(x)
+        # nearly always the first or the last; a search would cost the length of the queue
+        if own[0] is x:
+            own.popleft()
+        elif own[-1] is x:
+            own.pop()
+        else:
+            own.remove(x)
         if not own:
             del self.by_key[x.side][x.key]
         self.out.append((x.side, x.at, reason, x.matched))
@@ -47,27 +52,18 @@ class JoinReplay:
     def _sweep(self, now) -> None:
         for side in (0, 1):
             w, line = self.windows[side], self.in_order[side]
+            if not line:
+                continue
             if isinstance(w, W.Count):
-                while self.held[side] > w.count:
-                    x = line.popleft()
-                    if not x.gone:
-                        self._leave(x, W.EVICTED)
+                while len(line) > w.count:
+                    self._leave(next(iter(line)), W.EVICTED)
             elif isinstance(w, W.Interval) and (now if w.now is None else w.now) is not None:
                 clock = now if w.now is None else w.now
-                # times do not fall in arrival order; a record without a time stays
-                kept = deque()
-                while line and (line[0].gone or line[0].t is None or clock - line[0].t > w.offset):
-                    x = line.popleft()
-                    if x.gone:
-                        continue
-                    if x.t is None:
-                        kept.append(x)
-                    else:
-                        self._leave(x, w.reason)
-                line.extendleft(reversed(kept))
-            elif isinstance(w, W.Predicate):
-                if line and not line[-1].gone and not line[-1].keep:
-                    self._leave(line.pop(), w.reason)
+                # times do not fall in arrival order; a record without a time stays and is not in the line
+                while line and clock - (x := next(iter(line))).t > w.offset:
+                    self._leave(x, w.reason)
+            elif isinstance(w, W.Predicate) and not (x := next(reversed(line))).keep:
+                self._leave(x, w.reason)
 
     def arrive(self, side, key, at, t, previous, keep) -> None:
         if not self.lazy:
@@ -79,18 +75,24 @@ class JoinReplay:
             own = self.by_key[side].setdefault(key, deque())
         x = _Held(side, key, at, t, keep)
         own.append(x)
-        self.in_order[side].append(x)
-        self.held[side] += 1
-        for y in list(self.by_key[1 - side].get(key, ())):
-            if y.gone or (self.lazy and previous is not None and self._late(y, previous)):
+        w = self.windows[side]
+        if w is not None and not (t is None and isinstance(w, W.Interval)):
+            self.in_order[side][x] = None
+        partners = self.by_key[1 - side].get(key, ())
+        met = []
+        for y in partners:
+            if self.lazy and previous is not None and self._late(y, previous):
                 continue
             x.matched = y.matched = True
             self.pairs.append((at, y.at) if side == 0 else (y.at, at))
-            if self.shots[1 - side]:
-                self._leave(y, W.MATCHED_ONCE)
+            met.append(y)
             if self.shots[side]:
-                self._leave(x, W.MATCHED_ONCE)
                 break
+        if self.shots[1 - side]:
+            for y in met:
+                self._leave(y, W.MATCHED_ONCE)
+        if self.shots[side] and met:
+            self._leave(x, W.MATCHED_ONCE)
         self._sweep(t)
 
     def _late(self, y: _Held, now) -> bool:
@@ -98,36 +100,45 @@ class JoinReplay:
         return isinstance(w, W.Interval) and y.t is not None and (now if w.now is None else w.now) - y.t > w.offset
 
     def finish(self) -> None:
-        for side in (0, 1):
-            for x in self.in_order[side]:
-                if not x.gone:
-                    self._leave(x, W.COMPLETED)
+        for some in self.by_key:
+            for own in some.values():
+                self.out += [(x.side, x.at, W.COMPLETED, x.matched) for x in own]
+            some.clear()
+
+
+#: Rows that a replay gathers, over as many runs as it takes, before it hands on a frame.
+HANDED = 20_000
 
 
 def _replayed(batches, make):
     """Rows of a frame sorted by run, in order, through an engine for each run; state does not outlive a run."""
     engine, run = None, None
+    pairs: list[tuple] = []
+    out: list[tuple] = []
 
     def drained() -> pd.DataFrame:
-        rows = [(0, a, b, None, None, None) for a, b in engine.pairs]
-        rows += [(1, at if side == 0 else None, at if side == 1 else None, side, reason, matched) for side, at, reason, matched in engine.out]
-        engine.pairs, engine.out = [], []
-        out = pd.DataFrame(rows, columns=["what", "l_at", "r_at", "side", "reason", "matched"])
-        return out.astype({"what": "int32", "side": "Int32", "matched": "boolean"})
+        rows = [(0, a, b, None, None, None) for a, b in pairs]
+        rows += [(1, at if side == 0 else None, at if side == 1 else None, side, reason, matched) for side, at, reason, matched in out]
+        pairs.clear()
+        out.clear()
+        made = pd.DataFrame(rows, columns=["what", "l_at", "r_at", "side", "reason", "matched"])
+        return made.astype({"what": "int32", "side": "Int32", "matched": "boolean"})
 
     number = lambda v: None if v is None or v != v else float(v)
     for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            if engine is None or r.run != run:
+        for side, key, at, t, keep, previous, own in zip(*(pdf[c].tolist() for c in ("side", "key", "at", "t", "keep", "prev", "run")), strict=True):
+            if engine is None or own != run:
                 if engine is not None:
                     engine.finish()
-                    yield drained()
-                engine, run = make(), r.run
-            engine.arrive(int(r.side), r.key, [int(x) for x in r.at], number(r.t), number(r.prev), bool(r.keep))
-        if engine is not None:
-            yield drained()
+                engine, run = make(), own
+                # most runs are short: a frame for each would cost more than the replay
+                engine.pairs, engine.out = pairs, out
+            engine.arrive(side, key, at.tolist(), number(t), number(previous), keep)
+            if len(pairs) + len(out) >= HANDED:
+                yield drained()
     if engine is not None:
         engine.finish()
+    if pairs or out:
         yield drained()
 
 

@@ -1,6 +1,12 @@
 """Plans and steps that must not grow faster than the input."""
 
-from millrace import Query, frame_from_rows
+import time
+
+import numpy as np
+import pandas as pd
+
+from millrace import Count, Interval, Query, frame_from_rows
+from millrace.operators.sequential import JoinReplay, _replayed
 
 
 def plan(df):
@@ -28,3 +34,28 @@ def test_what_one_shot_joins_held_is_told_without_a_replay(spark):
     met, left = ("distinct_match", True), ("completed", False)
     expected = {("left", i, *(met if i < 4 else left)) for i in range(1, 6)} | {("right", i, *(left if i in (3, 5) else met)) for i in range(1, 6)}
     assert {(r.schema, int(r.id), r.reason, r.matched) for r in gone.collect()} == expected and gone.count() == 10
+
+
+def test_a_replay_gathers_short_runs_and_forgets_what_left():
+    runs = 3000
+    rows = [(side, str(k), np.array([2 * k + side]), 0.0, True, None, str(k)) for k in range(runs) for side in (0, 1)]
+    batch = pd.DataFrame(rows, columns=["side", "key", "at", "t", "keep", "prev", "run"])
+    engines = []
+
+    def make():
+        engines.append(JoinReplay((Interval(5), Interval(5)), (None, None), (True, True), False))
+        return engines[-1]
+
+    frames = list(_replayed(iter([batch]), make))
+    assert len(frames) == 1 and sum((f["what"] == 0).sum() for f in frames) == runs and sum((f["what"] == 1).sum() for f in frames) == 2 * runs
+    assert not any(e.in_order[0] or e.in_order[1] or e.by_key[0] or e.by_key[1] for e in engines)
+
+
+def test_a_replay_does_not_walk_the_whole_queue():
+    """A long queue of one side, then as many partners: each finds the first and takes it from the front."""
+    engine, n = JoinReplay((Count(10**6), Count(10**6)), (None, None), (True, True), False), 100_000
+    began = time.process_time()
+    for i in range(2 * n):
+        engine.arrive(int(i >= n), "k", [i], None, None, True)
+    assert engine.pairs == [([i], [n + i]) for i in range(n)]
+    assert time.process_time() - began < 10
