@@ -77,7 +77,7 @@ def _hold(side: Side, before: str, later: str, gc: str) -> Column:
     return out
 
 
-def _annotated(left: Side, right: Side, gc: str, order: str, cuts: list, held: list | None = None) -> tuple[DataFrame, DataFrame]:
+def _annotated(left: Side, right: Side, gc: str, order: str, cuts: list) -> tuple[DataFrame, DataFrame]:
     """Both sides with what their windows look at, `_l_` and `_r_` before the names."""
     parts = []
     for n, s in ((0, left), (1, right)):
@@ -99,10 +99,6 @@ def _annotated(left: Side, right: Side, gc: str, order: str, cuts: list, held: l
             both = ranged(both, F.col("_no"), cuts)
         else:
             both = both.withColumn("_range", F.col("_side"))
-        if held is not None:
-            # totals by range and running values both read this; without it, every join of a chain would double the work
-            both = both.persist()
-            held.append(both)
         if any(isinstance(w, W.Count) for w in windows):
             both = running(both, sequence, counts)
         if left.buffer is not None or right.buffer is not None:
@@ -132,11 +128,10 @@ def _unpack(df: DataFrame, left: list[str], right: list[str], order: str) -> Dat
     )
 
 
-def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time", cuts: list | None = None, held: list | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "time", cuts: list | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """Joined rows (schema columns of both sides, `_at`) and what gives the expired records, for one of KINDS.
 
-    `cuts` part the arrival order into ranges for windows that look at it (see ranks.bounds);
-    frames that were persisted for them are added to `held`.
+    `cuts` part the arrival order into ranges for windows that look at it (see ranks.bounds).
     """
     cuts = cuts or []
     kind = kind.lower()
@@ -161,7 +156,7 @@ def join(left: Side, right: Side, kind: str, gc: str = "strict", order: str = "t
         for x in out[1:]:
             whole = whole.unionByName(x, allowMissingColumns=True)
         return _fill(whole, l, r, names, order), expired
-    l, r = _annotated(left, right, gc, order, cuts, held)
+    l, r = _annotated(left, right, gc, order, cuts)
     first = F.col("_l_at") <= F.col("_r_at") if order == "time" else F.lit(True)
     on = F.col("_l_k") == F.col("_r_k")
     if once:

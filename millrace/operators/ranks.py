@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 #: Rows of a range, and ranges at least and at most.
 RANGE_ROWS, FEWEST, MOST = 250_000, 8, 4096
@@ -38,16 +39,24 @@ def bounds(df: DataFrame, order: str, ranges: int | None = None) -> list:
 
 
 def ranged(df: DataFrame, order: Column, cuts: list) -> DataFrame:
-    """Adds `_range`, which grows with `order`; any cuts give right results, even ones equal work."""
+    """Adds `_range`, the number of cuts below `order`; any cuts give right results, even ones equal work.
+
+    A whole number is computed once a row and searched for: in a tree of conditions, as for other
+    kinds, the optimizer would put the arrays that it comes from into every node.
+    """
 
     def at(low: int, high: int) -> Column:
-        """The number of cuts below the value, between `low` and `high`: a search tree."""
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
         return F.when(order > F.lit(cuts[middle]), at(middle + 1, high)).otherwise(at(low, middle))
 
-    return df.withColumn("_range", at(0, len(cuts)))
+    if not cuts or not all(isinstance(c, int) for c in cuts):
+        return df.withColumn("_range", at(0, len(cuts)))
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    # i where the i-th cut is the value itself, -i - 1 where it lies before the i-th: of 2 i + 1, either sign
+    found = InternalFunction.array_binary_search(table, order.cast("long"))
+    return df.withColumn("_range", F.coalesce(F.shiftright(F.abs(found * 2 + 1), 1), F.lit(0)))
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:

@@ -255,6 +255,12 @@ class Query:
         buffers = any(k.buffer is not None for k in step.using.values())
         return buffers or self.plan.gc == "lazy" or any(isinstance(w, W.Count) for w in W.sides(self._window(step)))
 
+    def _dear(self, number: int) -> bool:
+        """What comes before the join of this number has ranks or a replay, so that it should not be computed for each of its readers."""
+        before = self.plan.joins[: number - 1]
+        shots = any(k.one_shot for j in before for k in j.using.values())
+        return shots or any(map(self._looks_at_order, before)) or any(d.window is not None for d in self.plan.distincts if d.after < number)
+
     def _time(self, frame: SchemaFrame, schema: str, w: W.Window):
         if isinstance(w, W.Interval) and w.field and w.field in frame.df.schema[schema].dataType.names:
             return as_number(frame.df, F.col(f"`{schema}`.`{w.field}`"))
@@ -269,6 +275,11 @@ class Query:
             raise ValueError("using() must name a schema of either side")
         if clash := set(left.names) & set(right.names):
             raise ValueError(f"schemas on both sides of a join: {sorted(clash)}")
+        if self._looks_at_order(step) and self._dear(number):
+            # totals by range and the ranks of both sides read it; otherwise every join of a chain would triple the work.
+            # What is cheap is read anew, as then only the columns that are wanted are: the cache would hold whole records
+            left = SchemaFrame(left.df.persist(), left.names)
+            self._held.append(left.df)
         wl, wr = W.sides(self._window(step))
         buffers = [max((step.using[s].buffer for s in some if step.using[s].buffer), default=None) for some in (lefts, rights)]
         out = None
@@ -284,7 +295,7 @@ class Query:
                     made.append(J.Side(some, s, w, size, k.one_shot, source))
                 kind = step.kind
                 cuts = self._cuts if self.plan.order == "time" and self._looks_at_order(step) else []
-                rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts, self._held if number > 1 else None)
+                rows, expired = J.join(*made, kind, self.plan.gc, self.plan.order, cuts)
                 if self.plan.hook:
                     for name, df in (("left", made[0].df), ("right", made[1].df), ("joined", rows), ("expired", expired())):
                         self.plan.hook(name, number, df)

@@ -4,8 +4,10 @@ import time
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from millrace import Count, Interval, Query, frame_from_rows
+from millrace.operators.ranks import ranged
 from millrace.operators.sequential import JoinReplay, _replayed
 
 
@@ -59,3 +61,24 @@ def test_a_replay_does_not_walk_the_whole_queue():
         engine.arrive(int(i >= n), "k", [i], None, None, True)
     assert engine.pairs == [([i], [n + i]) for i in range(n)]
     assert time.process_time() - began < 10
+
+
+def test_ranges_compute_the_order_once(spark):
+    cuts = [-5, 0, 3, 3 * 10**15]
+    df = spark.createDataFrame([(v,) for v in (-6, -5, -4, 0, 1, 3, 4, 3 * 10**15, 10**18, None)], "v long")
+    made = ranged(df.select("v", F.array("v", F.lit(7)).alias("a")), F.col("a")[0], cuts)
+    assert {(r.v, r._range) for r in made.collect()} == {(v, 0 if v is None else sum(c < v for c in cuts)) for (v,) in df.collect()}
+    assert ranged(df, F.col("v"), []).filter("_range <> 0").count() == 0
+    assert [r._range for r in ranged(spark.createDataFrame([(0.5,), (2.5,)], "v double"), F.col("v"), [0.5, 2.0]).sort("v").collect()] == [0, 2]
+    assert plan(ranged(df.select(F.array(F.col("v") * 11).alias("a")), F.col("a")[0], list(range(500))).select("_range")).count("* 11") <= 2
+
+
+def test_count_windows_keep_no_whole_records_of_a_plain_join(spark):
+    """Only what has ranks itself is kept for its readers; the rest is read anew, by the columns that are wanted."""
+    a, b, c = (frame_from_rows(spark, n, [{"id": i, "text": "x"} for i in range(5)], order_by="id") for n in "abc")
+    q = Query.from_(a).inner_join(b).using(a="id", b="id").inner_join(c).using(b="id", c="id").join_window(count=3)
+    made = q.flat("a.id", "c.id")
+    assert "InMemory" not in plan(made) and made.count() == 5
+    d = frame_from_rows(spark, "d", [{"id": i} for i in range(5)], order_by="id")
+    more = q.inner_join(d).using(c="id", d="id").join_window(count=3).flat("a.id", "d.id")
+    assert "InMemory" in plan(more) and more.count() == 5
